@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, size=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
