@@ -40,6 +40,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.substrings import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("twin")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
