@@ -24,7 +24,7 @@ BITS = 20
 #: Labelled rows that the fit may see.
 SAMPLE = 20_000
 #: Tasks that count the sample; each sends at most one count a hash and class to the driver.
-TASKS = 8
+TASKS = 2
 #: Standard errors between the log-count ratio of a used feature and zero, and documents that have it.
 STEPS, LEAST = 4.0, 3
 #: Scores from here on are predicted toxic.
