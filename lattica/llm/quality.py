@@ -24,7 +24,7 @@ BITS = 18
 SYMBOLS = "#*$%&|<>"
 SPACES = re.compile("[\x20\x09-\x0d]")
 #: Labelled rows that the fit may see.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Every so manieth of them is kept for calibration.
 FOLD = 4
 #: A feature is used if so many rows of the fit have it.
@@ -153,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         for k, i in enumerate(which):
             cols, vals = sparse[i]
             own = place[cols] >= 0
-            r.append(np.full(int(own.sum()), k))
-            c.append(place[cols[own]])
-            v.append(vals[own] * scale[cols[own]])
+            r.append(np.full(int(own.sum()), k, np.int32))
+            c.append(place[cols[own]].astype(np.int32))
+            v.append((vals[own] * scale[cols[own]]).astype(np.float32))
         return np.concatenate(r), np.concatenate(c), np.concatenate(v)
 
     fit, rest = np.flatnonzero(~fold), np.flatnonzero(fold)
