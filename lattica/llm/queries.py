@@ -33,6 +33,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,11 +72,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("twin")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lattica.llm.chat import rotate
+
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    out = rotate(table(spark, sf_dir, "conversations"))
+    return out.withColumn("mask_spans", spans).withColumn("text_md5", F.md5("text")).drop("masks", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lattica.llm import mixing
+    from lattica.llm import chat, mixing
 
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
