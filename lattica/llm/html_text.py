@@ -60,9 +60,9 @@ class Node:
         self.dense = 0.0
 
 
-def _skipped(name: str, attributes: str, inside_article: bool) -> bool:
+def _skipped(name: str, attributes: str, open_: list[Node]) -> bool:
     if name in DROPPED:
-        return not (name == "header" and inside_article)
+        return name != "header" or not any(x.name == "article" for x in open_)
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     return any(w in MARKED for m in WORDS.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
@@ -116,7 +116,7 @@ def tree(page: str) -> Node:
                 if open_[k].name in ENDED[name]:
                     del open_[k:]
                     break
-        node = Node(name, _skipped(name, attributes, any(x.name == "article" for x in open_)))
+        node = Node(name, _skipped(name, attributes, open_))
         open_[-1].parts.append(node)
         if name not in VOID and not attributes.endswith("/"):
             open_.append(node)
@@ -221,19 +221,20 @@ def main_text(page: str | None) -> str:
         up = parents[id(up)]
     out: list[str] = []
 
-    def content(node: Node) -> None:
-        """What stands beside the path is content if it is as dense as the path."""
-        if node is best:
-            _blocks(node.parts, out)
-            return
-        for x in node.parts:
-            if isinstance(x, Node) and not x.skip:
-                if id(x) in path:
-                    content(x)
-                elif x.chars and x.dense >= least and x.name not in INLINE:
-                    _blocks(x.parts, out)
-
-    content(body)
+    stack = [iter(body.parts)] if body is not best else []
+    if body is best:
+        _blocks(best.parts, out)
+    while stack:  # down the path; what stands beside it is content if it is as dense
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, Node) and not x.skip:
+            if x is best:
+                _blocks(x.parts, out)
+            elif id(x) in path:
+                stack.append(iter(x.parts))
+            elif x.chars and x.dense >= least and x.name not in INLINE:
+                _blocks(x.parts, out)
     return "\n\n".join(out)
 
 
