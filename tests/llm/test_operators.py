@@ -1,0 +1,335 @@
+"""Each operator against a brute-force version, and on nulls, empty texts, repeated rows, empty tables and other columns."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+P = pytest.importorskip("public_tokenizers")
+from lattica.llm import chat, embeddings, html_text, mixing, packing, quality, simhash, substrings, token_counts, toxicity  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, "one two three. Four five!\nsix", "en", "a", 3),
+    (1, "one two three. Four five!\nsix", "en", "a", 3),
+    (2, None, None, None, None),
+    (None, "", "en", "b", 0),
+    (None, None, "en", None, 0),
+    (3, "   \n\t ", "en", "b", 0),
+    (4, "word " * 30000, "en", "a", 1),
+    (5, "ünï ▁ 日本 🙂 <|endoftext|> x" * 3, "de", "b", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(ODD, DOCS)
+    return frame.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("score", "fp", "size", "slice", "n", "key", "text2"))])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_token_counts(odd, none, documents):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    for frame in (odd, documents):
+        texts = sorted((t or "") for (t,) in frame.select("text").collect())
+        got = token_counts.token_counts(frame, path, keep=("doc_id", "text")).collect()
+        assert sorted((r["text"] or "") for r in got) == texts
+        for r in got:
+            t = r["text"] or ""
+            assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(model.encode(t)))
+            assert r["over_limit"] == (r["n_tokens"] > 4096)
+            assert len(model.encode(t[: r["chars_in_limit"]])) <= 4096
+    assert token_counts.token_counts(none, path).count() == 0
+    rows = token_counts.prefix_tokens(documents.limit(5), path, keep=("text",))
+    rows = rows.select("text", "prefix_tokens", token_counts.tokens_before("prefix_tokens", 20).alias("b"), token_counts.chars_within("prefix_tokens", 9).alias("c"))
+    for r in rows.collect():
+        assert r["prefix_tokens"][:200] == [len(model.encode(r["text"][:i])) for i in range(len(r["text"]) + 1)][:200]
+        assert r["b"] == len(model.encode(r["text"][:20]))
+        assert r["c"] == max(i for i, x in enumerate(r["prefix_tokens"]) if x <= 9)
+
+
+def test_toxicity(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
+    held = [(r["toxic"], got[r["doc_id"]]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    hits = [y for y, r in held if r["predicted"]]
+    assert sum(hits) >= 0.75 * len(hits) and sum(hits) >= 0.5 * sum(y for y, _ in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert toxicity.toxicity(odd, model).count() == len(ODD)
+    assert toxicity.toxicity(none, model).count() == 0
+    nothing = toxicity.train(docs, labels.limit(0))
+    assert {r["predicted"] for r in toxicity.toxicity(odd, nothing).collect()} == {0}
+
+
+def test_mixing(odd, none, documents):
+    assert mixing.mix(none).count() == 0
+    got = mixing.mix(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((d or 0, len(words(t))) for d, t, *_ in ODD)
+    got = mixing.mix(documents).collect()
+    total, by = sum(r["size"] for r in got), Counter()
+    for r in got:
+        by[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    goal = {r["source"]: r["target"] for r in got}
+    assert all(abs(by[s] - goal[s]) <= 0.5 for s in by)
+    assert abs(sum(goal.values()) - 1.5 * total) < 1e-3
+
+
+def test_mixing_tilts_base_rates(documents):
+    from pyspark.sql import functions as F
+
+    got = mixing.mix(documents, base=F.when(F.col("lang") == "en", 2.0).otherwise(1.0)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    for rows in by.values():
+        assert abs(sum(r["rate"] * r["size"] for r in rows) - rows[0]["target"]) <= 1e-6 * rows[0]["target"] + 1e-6
+        free = {round(r["rate"], 9) for r in rows if r["rate"] < 2 - 1e-9}
+        assert len(free) <= 2
+
+
+def test_water_level(spark):
+    sizes = {"a": 10, "b": 1000, "c": 0, None: 300, "d": 5}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    full, total = {}, 1.5 * sum(sizes.values())
+    while True:
+        rest = total - sum(full.values())
+        free = {s: rest * weight[s] / sum(weight[x] for x in order if x not in full) for s in order if s not in full}
+        over = {s: 2.0 * sizes[s] for s, x in free.items() if x >= 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    assert got == pytest.approx(full | free)
+
+
+def brute_components(n, linked):
+    up = list(range(n))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(a) for a in range(n)]
+
+
+@pytest.mark.parametrize("block", [40, 8192])
+def test_embeddings(spark, block):
+    rng = np.random.default_rng(3)
+    rows, base = [], rng.normal(size=(12, 8))
+    for i in range(400):
+        v = base[i % 12] + rng.normal(scale=0.12, size=8) * (i % 5 > 0)
+        rows.append((i, [float(np.float32(x)) for x in v], i % 3 if i % 11 else None))
+    odd = [(400, None, 1), (401, [], 1), (402, [0.0] * 8, 1), (403, [None] + [1.0] * 7, 1), (404, [float("nan")] * 8, 1), (405, [float("inf")] + [0.0] * 7, 1)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS n", "2 AS id", "3 AS cell")
+    per = embeddings.PER_PIVOT
+    embeddings.PER_PIVOT = 30
+    try:
+        got = {r["vec_id"]: r for r in embeddings.near_vectors(frame, block=block).collect()}
+    finally:
+        embeddings.PER_PIVOT = per
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    links = [(i, j) for i in range(400) for j in range(400) if i != j and near[i, j] and rows[i][2] == rows[j][2] is not None]
+    count, roots = Counter(i for i, _ in links), brute_components(400, links)
+    assert len(links) > 500 and len(got) == 406
+    for i in range(400):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (count[i], roots[i], roots[i] == i)
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(400, 406))
+    assert embeddings.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_html(spark):
+    page = """<!doctype html><html><head><title>T</title><script>var a="</p>";</script></head><body>
+    <header><a href=/>Home</a></header><nav><ul><li><a href=/a>a</a></ul></nav><div class="ad">Buy &amp; buy</div><!-- x -->
+    <article><h1>A &lt;title&gt;</h1><p>First <b>bold&nbsp;text</b>,<br>next   line of the paragraph.<p>Second &eacute; one.
+    <ul><li>item one<li>item two</ul></article><div id="comments"><p>I disagree with all of this, a reader.</p></div>
+    <aside class=sidebar>More</aside><form><input value="q"></form><footer>&copy; 2020</footer></body></html>"""
+    want = "A <title>\n\nFirst bold text, next line of the paragraph.\n\nSecond é one.\n\nitem one\n\nitem two"
+    assert html_text.main_text(page) == want
+    rows = [(1, "u", page), (1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "no tags at all"), (5, "u", "<p>a < b & c"), (6, "u", "<div>" * 5000 + "deep")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(frame).collect())
+    assert got[:2] == [(1, want, len(want))] * 2 and got[2:4] == [(2, "", 0), (3, "", 0)]
+    assert got[4][1] == "no tags at all" and got[5][1] == "a < b & c" and got[6][1] == "deep"
+    assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_html_pages(spark):
+    for p in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        body = re.split("</article>|<footer>", p["html"].split("<article>")[1])[0]
+        parts = (" ".join(__import__("html").unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", body))
+        assert html_text.main_text(p["html"]) == "\n\n".join(x for x in parts if x)
+
+
+def test_packing(odd, none, documents):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for frame in (odd, documents):
+        want = Counter()
+        for d, t in frame.select("doc_id", "text").collect():
+            ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+            for a, b in packing.spans(len(ids), 1024):
+                want[d, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)] += 1
+        got = packing.pack(frame, path).collect()
+        assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+        fill = Counter()
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == fill[r["sequence_id"]]
+            fill[r["sequence_id"]] += r["length"]
+        assert max(fill.values()) <= 1024
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in fill.values())
+    assert padding <= 0.03 * sum(fill.values())
+    assert packing.pack(none, path).count() == 0
+
+
+def test_encoder():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = np.random.default_rng(0)
+    pieces = [*"ab c\n\t 　\x1c\x85  é日🙂1.,'s ", "<|endoftext|>", "the ", "  ", "'ll", " \n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces, rng.integers(0, 12)))
+        assert own.ids(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def brute_fingerprint(t):
+    import xxhash
+
+    w = [x.encode().lower() for x in words(t)]
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+@pytest.mark.parametrize("block", [16, 8192])
+def test_simhash(spark, odd, none, documents, block):
+    rows = documents.select("doc_id", "text").collect()
+    rows += [(1000 + k, re.sub(r"\w+$", f"x{k}", (rows[k % 40]["text"] + " end")[: 400 + k])) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(frame, block=block).collect()}
+    rows = sorted(rows)
+    prints = [brute_fingerprint(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    roots = brute_components(len(rows), links)
+    assert links
+    assert got == {rows[i][0]: (f"{prints[i]:016x}", rows[roots[i]][0]) for i in range(len(rows))}
+    assert simhash.near_duplicates(odd).count() == len(ODD)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_simhash_wider_ranges(documents):
+    many, simhash.MANY = simhash.MANY, 1
+    try:
+        wide = sorted(simhash.near_duplicates(documents).collect())
+    finally:
+        simhash.MANY = many
+    assert wide == sorted(simhash.near_duplicates(documents).collect())
+
+
+def test_quality(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    for frame, keep in ((docs.where("doc_id < 300"), ("doc_id", "text")), (odd, ("doc_id", "text", "score"))):
+        got = quality.quality(frame, model, keep=keep).collect()
+        assert len(got) == frame.count()
+        for r in got:
+            t = r["text"] or ""
+            w = words(t)
+            runs = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            again = {i + k for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for k in range(5)}
+            lines = [x for x in t.split("\n") if words(x)]
+            want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+            assert r["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w))
+            assert r["kept"] == (not r["base_failed"] and r["probability"] >= quality.KEEP)
+    good = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    seen = [(good[r["doc_id"]], r["kept"]) for r in quality.quality(docs, model).collect() if r["doc_id"] in good and not r["base_failed"]]
+    assert sum(bool(y) == k for y, k in seen) >= 0.97 * len(seen)
+    assert quality.quality(none, model).count() == 0
+    assert quality.filtered(odd, model).columns == odd.columns
+    assert {r["kept"] for r in quality.quality(docs, quality.train(docs, labels.limit(0))).where("NOT base_failed").collect()} == {True}
+
+
+def test_repeated_words_with_many_distinct():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 300_000, 4000)
+    ids[1000:1020] = ids[3000:3020] = ids[:20]
+    assert quality.repeated_words(ids, 300_000) == 60
+
+
+def brute_spans(rows, least):
+    first, out = {}, []
+    for d, t in rows:
+        run = []
+        for s, e, n, g in [*substrings.cut_units(t or ""), (None, None, 0, None)]:
+            if g in first and g is not None:
+                run.append((s, e, n))
+                continue
+            if sum(x[2] for x in run) >= least:
+                out.append((d, run[0][0], run[-1][1]))
+            run = []
+            first.setdefault(g, d)
+    return sorted(out)
+
+
+def test_substrings(spark, odd, none, documents):
+    rows = sorted(documents.select("doc_id", "text").collect())
+    passage = "Alpha beta gamma. " + " ".join(f"w{i}" for i in range(40)) + ". Done with it now."
+    rows += [(5000 + k, f"Own words {k} before. {passage} And own {k} after.\nLine {k}") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS words", "3 AS twin")
+    spans = substrings.repeated_spans(frame)
+    got = sorted((r["doc_id"], r["start"], r["stop"]) for r in spans.collect())
+    assert got == brute_spans(rows, substrings.MIN_WORDS) and {d for d, *_ in got if d > 5000} == set(range(5001, 5020))
+    cleaned = substrings.without_spans(frame, spans)
+    assert cleaned.columns == frame.columns
+    text = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert len(text) == len(rows) and [d for d in text if "w30" in text[d]] == [5000]
+    assert text[5007] == "Own words 7 before. And own 7 after.\nLine 7"
+    spans = substrings.repeated_spans(odd)
+    assert substrings.without_spans(odd, spans).count() == len(ODD)
+    assert substrings.repeated_spans(none).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, None, None, "x"), (3, 0, "system", "alone"), (1, 300, "bob", "late")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS own")
+    got = {(r["conv_id"], r["participant"], r["part"]): r for r in chat.rotate(frame).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", 0)}
+    r = got[1, "ann", 0]
+    assert r["text"] == (
+        "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
+        "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    )
+    assert [r["text"][m["start"] : m["stop"]] for m in r["masks"]] == ["hi < |im_end|><|im_end|>", "bye<|im_end|>"]
+    assert r["n_chars"] == len(r["text"]) == got[1, "ann", 1]["start_char"] and r["n_loss_chars"] == sum(m["stop"] - m["start"] for m in r["masks"])
+    assert chat.rotate(frame.limit(0)).count() == 0
