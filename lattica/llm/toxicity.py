@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,22 @@ TOXIC = 0.3
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights by hash (log-count ratio times coefficient) and intercept."""
+    """The used hashes in order, their weights (log-count ratio times coefficient), and the intercept."""
 
-    used: np.ndarray
+    at: np.ndarray
     weights: np.ndarray
     intercept: float
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """By hash: where its weight stands, or -1. Built where the model is used, so that little is sent."""
+        place = np.full(1 << BITS, -1, np.int32)
+        place[self.at] = np.arange(len(self.at))
+        return place
+
     def found(self, text: str) -> np.ndarray:
-        """Distinct used hashes of a text."""
-        hits = [h[self.used[h]] for h in rolling(code_points(text), ORDERS, BITS)]
+        """Places of the distinct used hashes of a text."""
+        hits = [x[x >= 0] for x in (self.place[h] for h in rolling(code_points(text), ORDERS, BITS))]
         return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int32)
 
     def score(self, text: str) -> float:
@@ -61,7 +70,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by[int(y > 0)] += seen
             n[int(y > 0)] += 1
     some = np.flatnonzero(by.any(axis=0)).astype(np.int32)
-    data = [pa.array([x], kind) for x, kind in ((n[0], pa.int64()), (n[1], pa.int64()), (some.tobytes(), pa.binary()), (by[:, some].tobytes(), pa.binary()))]
+    data = [pa.array([x], kind) for x, kind in ((n[0], pa.int64()), (n[1], pa.int64()), (compress(np.diff(some, prepend=0).astype("<i4").tobytes()), pa.binary()), (compress(by[:, some].tobytes()), pa.binary()))]
     yield pa.RecordBatch.from_arrays(data, names=["n0", "n1", "at", "by"])
 
 
@@ -70,17 +79,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = labelled(docs, labels, label, sample)
     by, n = np.ones((2, 1 << BITS)), np.zeros(2)
     for r in rows.coalesce(TASKS).mapInArrow(_counts, "n0 long, n1 long, at binary, by binary").collect():
-        at = np.frombuffer(r["at"], np.int32)
-        by[:, at] += np.frombuffer(r["by"], np.int32).reshape(2, -1)
+        at = np.cumsum(np.frombuffer(decompress(r["at"]), "<i4"))
+        by[:, at] += np.frombuffer(decompress(r["by"]), np.int32).reshape(2, -1)
         n += (r["n0"], r["n1"])
-    nothing = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.float32)
     if not n.all():
         rate = float(n[1] / max(1, n.sum()))
-        return ToxicityModel(*nothing, float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
     ratio = np.log(by[1] / (n[1] + 2)) - np.log(by[0] / (n[0] + 2))
-    used = (np.abs(ratio) >= STEPS * np.sqrt(1 / by[0] + 1 / by[1])) & (by.sum(axis=0) >= LEAST + 2)
-    place = np.cumsum(used) - 1
-    draft = ToxicityModel(used, nothing[1], 0.0)
+    used = np.flatnonzero((np.abs(ratio) >= STEPS * np.sqrt(1 / by[0] + 1 / by[1])) & (by.sum(axis=0) >= LEAST + 2))
+    ratio = ratio[used]
+    draft = ToxicityModel(used.astype(np.int32), ratio, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(draft)
     found = each_text(rows, "text", lambda: lambda t: (shared.value.found(t or "").tobytes(),), "at binary", ["key", "y"])
     got = sorted(found.collect(), key=lambda r: r["key"])
@@ -88,10 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     y = np.array([float(r["y"] > 0) for r in got])
     r = np.repeat(np.arange(len(got)), [len(h) for h in hits])
     c = np.concatenate(hits)
-    w, b = logistic(r, place[c], ratio[c], y, int(used.sum()), ridge)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * ratio[used]
-    return ToxicityModel(used, weights, float(b))
+    w, b = logistic(r, c, ratio[c], y, len(used), ridge)
+    return ToxicityModel(draft.at, (w * ratio).astype(np.float32), float(b))
 
 
 def toxicity(df: DataFrame, model: ToxicityModel, threshold: float = TOXIC, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
