@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -84,13 +86,21 @@ def grams(text: str, ids: np.ndarray, distinct: list[bytes]):
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Weights by hash, intercept, calibration."""
+    """The used hashes with their weights, intercept, calibration."""
 
-    weights: np.ndarray
+    at: np.ndarray
+    given: np.ndarray
     intercept: float
     slope: float
     offset: float
 
+    @cached_property
+    def weights(self) -> np.ndarray:
+        """Weights by hash; built where the model is used, so that little is sent."""
+        weights = np.zeros(2 << BITS, np.float32)
+        weights[self.at] = self.given
+        return weights
+
     def probability(self, text: str, ids: np.ndarray, distinct: list[bytes]) -> float:
         z = self.intercept
         for part in grams(text, ids, distinct):
@@ -100,7 +110,7 @@ class QualityModel:
         return 1 / (1 + float(np.exp(-np.clip(self.slope * z + self.offset, -40, 40))))
 
 
-def _frequencies(text: str) -> tuple[bytes, bytes]:
+def _frequencies(text: str) -> tuple[bytes]:
     words = text.encode().split()
     ids, distinct = word_ids(words)
     cols, vals = [], []
@@ -110,8 +120,14 @@ def _frequencies(text: str) -> tuple[bytes, bytes]:
             cols.append(c.astype(np.int32))
             vals.append((n / n.sum()).astype(np.float32))
     if not cols:
-        return b"", b""
-    return np.concatenate(cols).tobytes(), np.concatenate(vals).tobytes()
+        return (b"",)
+    packed = np.concatenate(cols).tobytes() + np.concatenate(vals).tobytes()
+    return (compress(packed, 6),)
+
+
+def _sparse(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = decompress(packed) if packed else b""
+    return np.frombuffer(data, np.int32, len(data) // 8), np.frombuffer(data, np.float32, len(data) // 8, len(data) // 2)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -129,18 +145,16 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, ridge: float = 1e-3) -> QualityModel:
     """Fit on at most ``sample`` labelled rows. Without both labels among them every row gets the one label's rate."""
     rows = labelled(docs, labels, label, sample)
-    got = each_text(rows, "text", lambda: lambda t: _frequencies(t or ""), "cols binary, vals binary", ["key", "y"]).collect()
+    got = each_text(rows, "text", lambda: lambda t: _frequencies(t or ""), "packed binary", ["key", "y"]).collect()
     got = sorted(got, key=lambda r: r["key"])
     y = np.array([r["y"] for r in got], float)
     width = 2 << BITS
-    flat = np.zeros(width, np.float32)
     if len(got) < 40 or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 1.0
-        return QualityModel(flat, 0.0, 0.0, float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
+        return QualityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, 0.0, float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
     fold = np.arange(len(got)) % FOLD == 0
     df, mass = np.zeros(width), np.zeros(width)
-    sparse = [(np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in got]
-    for c, v in sparse:
+    for c, v in (_sparse(r["packed"]) for r in got):
         df[c] += 1
         mass[c] += v
     used = np.flatnonzero(df >= min(LEAST, 0.1 * len(got)))
@@ -152,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def matrix(which: np.ndarray):
         r, c, v = [], [], []
         for k, i in enumerate(which):
-            cols, vals = sparse[i]
+            cols, vals = _sparse(got[i]["packed"])
             own = place[cols] >= 0
             r.append(np.full(int(own.sum()), k, np.int32))
             c.append(place[cols[own]].astype(np.int32))
@@ -163,8 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     w, b = logistic(*matrix(fit), y[fit], len(used), ridge)
     r, c, v = matrix(rest)
     a, d = platt(np.bincount(r, v * w[c], len(rest)) + b, y[rest])
-    flat[used] = (w * scale[used]).astype(np.float32)
-    return QualityModel(flat, float(b), a, d)
+    return QualityModel(used.astype(np.int32), (w * scale[used]).astype(np.float32), float(b), a, d)
 
 
 def quality(df: DataFrame, model: QualityModel, threshold: float = KEEP, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
