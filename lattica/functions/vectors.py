@@ -14,8 +14,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """Unit length; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(_col(v), lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    whole = F.array(F.struct(_col(v).alias("v"), dot(v, v).alias("n")))  # bound once, not once an element
+    return F.transform(whole, lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(F.sqrt(s["n"]))))[0]
 
 
 def bucket(token: Column | str, dim: int = 64) -> Column:
@@ -34,6 +34,7 @@ def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     words = df.select(key, F.explode_outer(tokens(text)).alias("token"))
     counts = words.groupBy(key, bucket("token", dim).alias("b")).agg(F.count("token").cast("double").alias("n"))
     entry = F.when(F.col("b").isNotNull(), F.struct("b", "n"))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return maps.select(key, l2_normalize(dense).alias("embedding"))
+    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    norm = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / norm)
+    return maps.select(key, dense.alias("embedding"))
