@@ -11,8 +11,6 @@ from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a task, so that a batch of long texts is not held twice as Python objects.
 SLICE = 256
-#: ASCII white space, as the contracts define it; ``bytes.split()`` cuts at exactly these.
-SPACE = "\x20\x09-\x0d"
 
 
 def each_text(
@@ -39,7 +37,3 @@ def each_text(
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=names)
 
     return rows.mapInArrow(run, whole)
-
-
-def each_slice(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
-    return df.mapInArrow(run, out)
