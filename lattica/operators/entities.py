@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.config import Config
 from lattica.functions import lexicons as L
 from lattica.functions import text as T
 from lattica.operators.components import connected_components
+from lattica.operators.segmentation import numbered
 
 
 def surface_counts(capsules: DataFrame, titles: DataFrame, config: Config = Config()) -> DataFrame:
@@ -50,8 +50,10 @@ def entities(clusters: DataFrame) -> DataFrame:
     grouped = clusters.groupBy("cluster").agg(
         F.min_by("surface", best).alias("canonical_name"), F.sort_array(F.collect_set("surface")).alias("aliases"), F.sum("freq").alias("freq")
     )
-    rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.lower("canonical_name"), "canonical_name")) - 1
-    return grouped.withColumn("entity_id", F.format_string("E_%07d", rank)).select("entity_id", "canonical_name", "aliases", "freq", "cluster")
+    # frequency and the name's first letters order groups of names, so no window holds all entities
+    ordered = grouped.withColumns({"__f": -F.col("freq"), "__p": F.substring(F.lower("canonical_name"), 1, 3), "__l": F.lower("canonical_name")})
+    rows = numbered(ordered, ["__f", "__p"], ["__l", "canonical_name"], "nr")
+    return rows.withColumn("entity_id", F.format_string("E_%07d", "nr")).select("entity_id", "canonical_name", "aliases", "freq", "cluster")
 
 
 def alias_index(entities_: DataFrame) -> DataFrame:
