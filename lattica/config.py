@@ -21,6 +21,11 @@ class Config:
     sim_edge_topk: int = 32
     sim_edge_threshold: float = 0.82
     entails_min_sim: float = 0.9
+    nli_max_pairs: int = 2000
+    cost_entails: float = 0.2
+    cost_contradicts: float = 1.0
+    # question graphs
+    dag_max_nodes: int = 7
     # vectors
     dim: int = 64
     # candidates
@@ -44,6 +49,7 @@ class Config:
     doc_diversity_bonus: float = 0.08
     repeat_doc_penalty: float = 0.03
     repeat_capsule_penalty: float = 0.02
+    induced_max_nodes: int = 6000
     # document ranking
     dense_weight: float = 0.9
     rrf_pool: int = 120
@@ -59,6 +65,10 @@ class Config:
     mention_top_m: int = 20
     mention_bonus: float = 0.35
     retrieval_top_k: int = 200
+    # reranking by a model
+    rerank_top_n: int = 10
+    rerank_select: int = 2
+    rerank_snippet: int = 320
     # evidence
     max_passages: int = 5
     token_budget: int = 1800

@@ -83,16 +83,28 @@ def passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
 def sentence_capsules(passages_: DataFrame, config: Config = Config(), mentions: bool = True) -> DataFrame:
     """Atomic statements: the first sentences of each passage, with the entities that they mention as arguments.
 
-    ``mentions=False`` leaves the arguments empty. Numbers follow document, passage, sentence, predicate and text; they
-    are dealt per document and shifted by the counts of the documents before, so that no window holds the corpus.
+    ``mentions=False`` leaves the arguments empty.
     """
+    return with_capsule_ids(sentence_statements(passages_, config, mentions))
+
+
+def with_capsule_ids(statements: DataFrame) -> DataFrame:
+    """Statements with ``capsule_id``. Numbers follow document, passage, sentence, predicate and text; they are dealt per
+    document and shifted by the counts of the documents before, so that no window holds the corpus.
+    """
+    rows = numbered(statements, ["doc_idx"], ["passage_id", "sent_id", "predicate", "text"], "capsule_nr")
+    return rows.withColumn("capsule_id", F.format_string("C_%08d", "capsule_nr"))
+
+
+def sentence_statements(passages_: DataFrame, config: Config = Config(), mentions: bool = True) -> DataFrame:
+    """The statements of ``sentence_capsules``, not numbered yet."""
     rows = passages_.select(
         "doc_id", "doc_idx", "passage_id", "title", "sent_start", F.posexplode(F.slice("sentences", 1, config.max_capsules_per_passage)).alias("sent_id", "text")
     )
     found = T.entity_mentions("text") if mentions else F.array().cast("array<string>")
     argument = F.transform(found, lambda m: F.struct(F.lit("mention").alias("role"), m.alias("surface")))
     quote = F.substring("text", 1, 200)
-    rows = rows.select(
+    return rows.select(
         "doc_id",
         "doc_idx",
         "passage_id",
@@ -105,9 +117,6 @@ def sentence_capsules(passages_: DataFrame, config: Config = Config(), mentions:
         F.struct("doc_id", "doc_idx", "passage_id", "sent_id", quote.alias("quote")).alias("provenance"),
         F.lit(0.0).alias("confidence"),
     )
-    return numbered(rows, ["doc_idx"], ["passage_id", "sent_id", "predicate", "text"], "capsule_nr").withColumn(
-        "capsule_id", F.format_string("C_%08d", "capsule_nr")
-    )
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:

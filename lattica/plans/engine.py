@@ -13,23 +13,32 @@ from lattica.functions import text as T
 from lattica.functions.metrics import exact_match, recall_at, token_f1
 from lattica.functions.vectors import embed
 from lattica.operators import capsules as C
-from lattica.operators import dag, entities, graph, retrieval, segmentation
+from lattica.operators import dag, entities, graph, modelled, retrieval, segmentation
 from lattica.plans.checkpoints import cut
+from lattica.plans.models import Completer
 from lattica.sources.readers import load_tables, write_tables
 
 
 @dataclass
 class Engine:
-    """Stages from DataFrame to DataFrame; ``index`` fills ``tables``, which can be written and loaded."""
+    """Stages from DataFrame to DataFrame; ``index`` fills ``tables``, which can be written and loaded.
+
+    With a ``completer``, it reads capsules out of passages, judges pairs of capsules, takes questions apart and reranks
+    documents; without one, sentences serve as capsules and sub-questions, and only equal texts entail each other.
+    """
 
     config: Config = field(default_factory=Config)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    completer: Completer | None = None
 
     def index(self, corpus: DataFrame, mentions: bool = True) -> Engine:
         """``corpus`` as made by ``segmentation.corpus``. Tables that several later stages read are materialised once."""
         c = self.config
         passages = cut(segmentation.passages(corpus, c))
-        capsules = cut(segmentation.sentence_capsules(passages, c, mentions))
+        if self.completer is not None:
+            capsules = cut(modelled.model_capsules(passages, self.completer, c))
+        else:
+            capsules = cut(segmentation.sentence_capsules(passages, c, mentions))
         surfaces = entities.surface_counts(capsules, corpus.select("title"), c)
         ents = cut(entities.entities(entities.entity_clusters(surfaces, c)))
         attached = entities.attach_entities(capsules, entities.alias_index(ents))
@@ -38,6 +47,8 @@ class Engine:
         canonical = C.canonical_capsules(capsules, clusters)
         canonical = cut(canonical.join(C.centroids(capsules, clusters), "cluster").drop("cluster"))
         edges = graph.evidence_edges(passages, canonical, None, c)
+        entailed = modelled.entailment_edges(canonical, self.completer, c)
+        edges = cut(edges.unionByName(entailed.select("src", "dst", "type", "cost")))
         self.tables = {
             "docs": corpus,
             "passages": passages.join(embed(passages, "passage_id", "text", c.dim), "passage_id"),
@@ -64,8 +75,13 @@ class Engine:
         """
         c, t = self.config, self.tables
         passages, canonical = t["passages"], t["canonical"]
-        nodes = cut(dag.with_anchor(dag.chain_dag(questions), questions))
-        above = dag.parents(nodes)
+        if self.completer is not None:
+            parts, links = modelled.question_dags(questions, self.completer, c)
+            nodes = cut(dag.with_anchor(parts, questions))
+            above = cut(dag.parents(nodes, links))
+        else:
+            nodes = cut(dag.with_anchor(dag.chain_dag(questions), questions))
+            above = dag.parents(nodes)
         order = dag.topo_levels(nodes, above)
         node = F.concat_ws("|", F.col("qid").cast("string"), "gid")
         asked = nodes.select(node.alias("node"), "question")
@@ -97,8 +113,11 @@ class Engine:
         chosen = cut(retrieval.beam_assign(cands, order, above, c))
 
         kept = cands.where(F.col("rank") <= c.seed_top_s).select("qid", "gid", "canonical_id").unionByName(chosen.where("canonical_id IS NOT NULL").select("qid", "gid", "canonical_id")).distinct()
+        paths = cut(modelled.connected(chosen, above, cands, shown, adjacency, c))
+        on_way = paths.select("qid", F.explode("path").alias("n")).where(F.col("n").startswith("C:")).select("qid", F.substring("n", 3, 100).alias("canonical_id"))
         best_prize = cands.groupBy("qid", "canonical_id").agg(F.max("prize").alias("prize"))
-        touched = kept.select("qid", "canonical_id").distinct().join(best_prize, ["qid", "canonical_id"]).join(shown, "canonical_id")
+        touched = kept.select("qid", "canonical_id").unionByName(on_way).distinct().join(best_prize, ["qid", "canonical_id"], "left").join(shown, "canonical_id")
+        touched = touched.withColumn("prize", F.coalesce("prize", F.lit(0.0)))
         capsule = touched.select("qid", "prize", F.explode("doc_idxs").alias("doc_idx")).groupBy("qid", "doc_idx").agg(F.max("prize").alias("prize"))
         entity = touched.select("qid", "prize", F.explode("entity_ids").alias("entity_id")).groupBy("qid", "entity_id").agg(F.max("prize").alias("score"))
         entity = entity.join(t["entities"].select("entity_id", T.normalize_entity("canonical_name").alias("norm")), "entity_id")
@@ -112,6 +131,9 @@ class Engine:
         group_docs = by_group.withColumn("r", F.row_number().over(Window.partitionBy("qid", "gid").orderBy(F.desc("sim"), "doc_idx"))).where(F.col("r") <= 15)
         covers = kept.join(shown, "canonical_id").select("qid", "gid", F.explode("doc_idxs").alias("doc_idx")).unionByName(group_docs.select("qid", "gid", "doc_idx"))
         ranked = cut(retrieval.diversified(scores, covers, c))
+        if self.completer is not None:
+            chosen_docs = modelled.reranked(ranked, questions, by_question, passages, t["docs"], self.completer, c)
+            ranked = cut(retrieval.apply_rerank(ranked, chosen_docs, c))
         documents = retrieval.retrieved(ranked, by_question, c)
 
         dense = near.groupBy("qid", "passage_id", "doc_idx").agg(F.max("sim").alias("dense"))
@@ -127,7 +149,26 @@ class Engine:
         first = ranked.where(F.col("rank") <= 2).join(by_question.select("qid", "doc_idx", "passage_id"), ["qid", "doc_idx"]).select("qid", "passage_id", F.col("rank").alias("pos"))
         evidence = cut(retrieval.pack_evidence(pool, hits, weights, first, c))
         top = cands.where(F.col("rank") <= 5).join(shown.select("canonical_id", F.col("passage_ids").alias("ps")), "canonical_id").select("qid", "gid", F.explode("ps").alias("passage_id"))
-        return {"documents": documents, "evidence": evidence, "assignment": chosen, "coverage": retrieval.coverage(evidence, top), "paths": kept}
+        return {"documents": documents, "evidence": evidence, "assignment": chosen, "coverage": retrieval.coverage(evidence, top), "paths": paths}
+
+    def rag_qa(self, questions: DataFrame, golds: DataFrame | None = None) -> dict[str, DataFrame]:
+        """What ``retrieve`` gives, ``answers`` (``qid, prediction, raw``), and with ``golds`` (``qid, golds array<string>``)
+        ``metrics``: exact match, F1, mean coverage and mean evidence tokens. Needs a completer."""
+        if self.completer is None:
+            raise ValueError("answers need a completer")
+        got = self.retrieve(questions)
+        answers = cut(modelled.answers(questions, got["evidence"], self.tables["passages"], self.completer))
+        got["answers"] = answers
+        if golds is not None:
+            spent = got["evidence"].groupBy("qid").agg(F.sum("token_count").alias("tokens"))
+            rows = golds.join(answers, "qid", "left").join(got["coverage"], "qid", "left").join(spent, "qid", "left")
+            got["metrics"] = rows.agg(
+                F.avg(exact_match(F.coalesce("prediction", F.lit("")), "golds")).alias("em"),
+                F.avg(token_f1(F.coalesce("prediction", F.lit("")), "golds")).alias("f1"),
+                F.avg(F.coalesce("coverage", F.lit(0.0))).alias("coverage"),
+                F.avg(F.coalesce("tokens", F.lit(0))).cast("int").alias("evidence_tokens"),
+            )
+        return got
 
     def evaluate(self, documents: DataFrame, gold: DataFrame) -> DataFrame:
         """Mean recall at the usual cut-offs; ``gold`` has ``(qid, doc_idx)``."""
