@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattica.functions import lexicons as L
-from lattica.functions.text import _col, normalize_answer
+from lattica.functions.text import _col, bound, normalize_answer
 
 
 def _month(name: Column) -> Column:
@@ -20,7 +20,10 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 def normalize_date(text: Column | str) -> Column:
     """``D Month YYYY`` for ISO dates and for dates with a month's name, otherwise the text without ordinal endings."""
-    t = F.regexp_replace(F.trim(F.coalesce(_col(text), F.lit(""))), r"(?i)(\d+)(st|nd|rd|th)\b", "$1")
+    return bound(F.regexp_replace(F.trim(F.coalesce(_col(text), F.lit(""))), r"(?i)(\d+)(st|nd|rd|th)\b", "$1"), _date)
+
+
+def _date(t: Column) -> Column:
     show = lambda d, m, y: F.concat_ws(" ", d.cast("int").cast("string"), m, y.cast("int").cast("string"))
     iso, mdy, dmy = r"^\s*(\d{3,4})-(\d{1,2})-(\d{1,2})\s*$", r"^\s*([A-Za-z]+)\s+(\d{1,2})\s*,?\s*(\d{3,4})\s*$", r"^\s*(\d{1,2})\s+([A-Za-z]+)\s+(\d{3,4})\s*$"
     named = F.try_element_at(F.array(*[F.lit(m.capitalize()) for m in L.MONTHS]), F.nullif(_group(t, iso, 2).cast("int"), F.lit(0)))
@@ -43,10 +46,12 @@ def binary_options(question: Column | str) -> Column:
 
 
 def _overlap(answer: Column, option: Column) -> Column:
-    a, o = normalize_answer(answer), normalize_answer(option)
-    words = F.array_distinct(F.split(o, " "))
-    shared = F.size(F.array_intersect(F.split(a, " "), words)) / F.size(words)
-    return F.when((a == "") | (o == ""), 0.0).when(a.contains(o) | o.contains(a), 1.0).otherwise(shared)
+    def share(a: Column, o: Column) -> Column:
+        words = F.array_distinct(F.split(o, " "))
+        shared = F.size(F.array_intersect(F.split(a, " "), words)) / F.size(words)
+        return F.when((a == "") | (o == ""), 0.0).when(a.contains(o) | o.contains(a), 1.0).otherwise(shared)
+
+    return bound(normalize_answer(answer), lambda a: bound(normalize_answer(option), lambda o: share(a, o)))
 
 
 def place_question(q: Column) -> Column:
@@ -55,32 +60,45 @@ def place_question(q: Column) -> Column:
 
 def postprocess_answer(answer: Column | str, question: Column | str) -> Column:
     """The short form of a free answer to a question."""
-    a, q = F.trim(F.coalesce(_col(answer), F.lit(""))), F.coalesce(_col(question), F.lit(""))
-    low = F.lower(F.trim(q))
+    q = F.coalesce(_col(question), F.lit(""))
+    return bound(F.trim(F.coalesce(_col(answer), F.lit(""))), lambda a: F.when(a == "", "").otherwise(bound(_first_line(a), lambda s: bound(q, lambda q: _short(s, q)))))
+
+
+def _first_line(a: Column) -> Column:
+    """The first line after the last "Answer:", without lead-ins, quotes and final dots."""
     tails = F.regexp_extract_all(a, F.lit(r"(?i)\banswer\s*:\s*(.+)"), F.lit(1))
     a = F.coalesce(F.trim(F.try_element_at(tails, F.lit(-1))), a)
     a = F.trim(F.element_at(F.split(a, r"\r\n|\n|\r"), 1))
     a = F.trim(F.regexp_replace(a, r"(?i)^(the answer is|answer is|final answer is)\s*[:\-]?\s*", ""))
-    a = F.regexp_replace(F.regexp_replace(a, "^[ \\t\"'`]+|[ \\t\"'`]+$", ""), r"\.+$", "")
+    return F.regexp_replace(F.regexp_replace(a, "^[ \\t\"'`]+|[ \\t\"'`]+$", ""), r"\.+$", "")
+
+
+def _short(a: Column, q: Column) -> Column:
+    low = F.lower(F.trim(q))
     options = F.when(low.rlike("^(which|who)"), binary_options(q))
-    first, second = _overlap(a, options[0]), _overlap(a, options[1])
-    chosen = F.when(F.greatest(first, second) >= 0.5, F.when(first >= second, options[0]).otherwise(options[1]))
+    chosen = bound(options, lambda o: bound(_overlap(a, o[0]), lambda x: bound(_overlap(a, o[1]), lambda y: F.when(F.greatest(x, y) >= 0.5, F.when(x >= y, o[0]).otherwise(o[1])))))
     closed = F.when(low.rlike("^(are|do|did|is) "), F.when(a.rlike(r"(?i)\bno\b"), "no").when(a.rlike(r"(?i)\byes\b"), "yes"))
+    same = F.lower(F.trim(a))
     nation = F.when(
         low.startswith("what nationality"),
-        F.when(F.lower(F.trim(a)).isin("american", "united states", "usa", "america"), "America").when(F.lower(F.trim(a)).isin("german", "germany"), "Germany"),
+        F.when(same.isin("american", "united states", "usa", "america"), "America").when(same.isin("german", "germany"), "Germany"),
     )
     dated = F.when(low.startswith("when ") | low.contains("date"), normalize_date(a)).otherwise(a)
-    bare = F.trim(F.regexp_replace(dated, r"\s*\([^)]{0,60}\)\s*$", ""))
-    bare = F.when(bare == "", dated).otherwise(bare)
-    region = F.lower(F.trim(F.regexp_extract(bare, "^[^,]*,(.*)$", 1)))
-    city = F.when(place_question(low) & region.isin(L.US_STATES + L.COUNTRIES), F.trim(F.regexp_extract(bare, "^([^,]*),", 1)))
-    return F.when(_col(answer).isNull() | (F.trim(_col(answer)) == ""), "").otherwise(F.coalesce(chosen, closed, nation, city, bare))
+    bare = bound(dated, lambda d: F.coalesce(F.nullif(F.trim(F.regexp_replace(d, r"\s*\([^)]{0,60}\)\s*$", "")), F.lit("")), d))
+
+    def city(b: Column) -> Column:
+        region = F.lower(F.trim(F.regexp_extract(b, "^[^,]*,(.*)$", 1)))
+        return F.when(place_question(low) & region.isin(L.US_STATES + L.COUNTRIES), F.trim(F.regexp_extract(b, "^([^,]*),", 1))).otherwise(b)
+
+    return F.coalesce(chosen, closed, nation, bound(bare, city))
 
 
 def normalize_place(place: Column | str) -> Column:
     """The city of "city, region, ..." where the region is a state or a country; otherwise both."""
-    p = F.trim(F.coalesce(_col(place), F.lit("")))
+    return bound(F.trim(F.coalesce(_col(place), F.lit(""))), _city)
+
+
+def _city(p: Column) -> Column:
     parts = F.filter(F.transform(F.split(p, ","), lambda x: F.trim(x)), lambda x: x != "")
     city, region = F.try_element_at(parts, F.lit(1)), F.lower(F.try_element_at(parts, F.lit(2)))
     same = region.isin(L.US_STATES) & F.lower(city).startswith(region) & F.lower(city).contains("city")
@@ -91,7 +109,10 @@ def normalize_place(place: Column | str) -> Column:
 def extract_span(question: Column | str, evidence: Column | str) -> Column:
     """What the first rule that fits the question finds in the evidence; empty if none does."""
     q, text = F.lower(F.trim(F.coalesce(_col(question), F.lit("")))), F.coalesce(_col(evidence), F.lit(""))
+    return bound(q, lambda q: bound(text, lambda text: _span(q, text)))
+
 
+def _span(q: Column, text: Column) -> Column:
     def first(*leads: str) -> Column:
         return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}([^.;\n]+)", 1)), F.lit("")) for lead in leads])
 

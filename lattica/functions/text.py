@@ -14,6 +14,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: a column that is used in many places is otherwise repeated in each."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _in(c: Column, words: list[str]) -> Column:
     return c.isin(words)
 
