@@ -15,7 +15,7 @@ from lattica.functions import metrics as M
 from lattica.functions import text as T
 from lattica.functions.vectors import dot, embed, tokens
 from lattica.operators import capsules as C
-from lattica.operators import dag, entities, graph, retrieval, segmentation
+from lattica.operators import dag, entities, graph, modelled, retrieval, segmentation
 from lattica.operators.components import connected_components
 from lattica.plans import models
 from lattica.plans.checkpoints import cut
@@ -459,6 +459,58 @@ def completer_cache(spark, d):
     return asked.join(again.where(F.col("answer").isNotNull()).agg(F.count("*").alias("answered"))).select("asked", "answered")
 
 
+def _saying(text: str):
+    """A model that always says the same."""
+    return lambda prompts: prompts.map(lambda _: text)
+
+
+@query(
+    f"""WITH RECURSIVE {PASSAGES} SELECT printf('C_%08d', row_number() OVER (ORDER BY doc_idx, passage_id) - 1) AS capsule_id, passage_id, s.sentence AS text, 'opens' AS predicate,
+    'negated' AS polarity FROM pass JOIN sent s ON s.doc_id = doc_idx AND s.pos = sent_start"""
+)
+def capsules_by_model(spark, d):
+    """Every passage is asked; the model finds one fact, in the first sentence."""
+    said = 'Here: ```json\n{"capsules": [{"predicate": "opens", "polarity": "neg", "sent_id": -3},]}\n```'
+    return modelled.model_capsules(segmentation.passages(_corpus(spark, d)), _saying(said)).select("capsule_id", "passage_id", "text", "predicate", "polarity")
+
+
+@query(
+    """SELECT item_id AS qid, n.pos::INT AS pos, n.gid, n.question, n.parent FROM benchmark,
+    (VALUES (0, 'q1', 'Who is it?', NULL), (1, 'q2', 'Where is it?', 'q1')) n(pos, gid, question, parent) WHERE text IS NOT NULL"""
+)
+def question_graphs(spark, d):
+    """Sub-questions that a model gives as lines, after two answers that hold no graph."""
+    nodes, edges = modelled.question_dags(_questions(spark, d).where("question IS NOT NULL"), _saying("1. Who is it?\n2) Where is it?"))
+    above = dag.parents(nodes, edges).withColumnRenamed("child", "gid")
+    return nodes.join(above, ["qid", "gid"], "left").select("qid", "pos", "gid", "question", "parent")
+
+
+@query(
+    """WITH r AS (SELECT s_nationkey::BIGINT AS qid, s_suppkey AS doc_idx, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+    SELECT qid, doc_idx, CASE WHEN n < 3 OR r > 3 THEN r WHEN r = 3 THEN 1 ELSE r + 1 END::INT AS rank FROM r"""
+)
+def rerank_by_model(spark, d):
+    """Suppliers of a nation as documents of a question; the model chooses the third one."""
+    s = read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("qid"), F.col("s_suppkey").alias("doc_idx"), "s_name")
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_idx"))).withColumn("score", 1.0 / F.col("rank"))
+    best = s.select("qid", "doc_idx", F.col("s_name").alias("passage_id"))
+    docs, texts = s.select("doc_idx", F.col("s_name").alias("title")), s.select(F.col("s_name").alias("passage_id"), F.col("s_name").alias("text"))
+    questions = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.col("n_name").alias("question"))
+    chosen = modelled.reranked(ranked, questions, best, texts, docs, _saying('{"selected": [2, 99]}'))
+    return retrieval.apply_rerank(ranked, chosen).select("qid", "doc_idx", "rank")
+
+
+@query("SELECT s_suppkey AS qid, n_name AS prediction FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def answers_by_model(spark, d):
+    """The evidence tells what the model does not."""
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = s.select(F.col("s_suppkey").alias("qid"), F.col("s_name").alias("title"), F.concat("s_name", F.lit(" works at "), "n_name", F.lit(".")).alias("text"))
+    passages = s.withColumn("passage_id", F.col("title"))
+    questions = s.select("qid", F.concat(F.lit("Where does "), "title", F.lit(" work?")).alias("question"))
+    found = modelled.answers(questions, passages.select("qid", "passage_id", F.lit(0).alias("position")), passages, _saying("Answer: it is not mentioned"))
+    return found.select("qid", "prediction")
+
+
 def _capsules(spark, d):
     corpus = _corpus(spark, d)
     p = cut(segmentation.passages(corpus))
