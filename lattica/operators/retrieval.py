@@ -13,16 +13,21 @@ from pyspark.sql.window import Window
 
 from lattica.config import Config
 from lattica.functions import text as T
+from lattica.functions.vectors import dot
 
 
-def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, config: Config = Config(), vector: str = "embedding") -> DataFrame:
+def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, config: Config = Config(), vector: str = "embedding", owner: str | None = None) -> DataFrame:
     """``(query, item, sim, rank)``: the ``k`` items with the greatest inner product for each query, ties by item.
 
+    With ``owner`` (an integer column of the items), ``(query, owner, item, sim, rank)``: the ``k`` owners whose best item
+    has the greatest product, ties by owner, each with that item. A batch keeps its ``k`` best owners; one that is among
+    the ``k`` best of all is so in the batch of its best item.
+
     Items are never moved: every Arrow batch is multiplied with the queries' matrix and keeps its own best ``k``, and only
     those are ranked. The matrix is sent to the executors in blocks of a checked size, one pass for each.
     """
     rows = queries.select(query, vector).orderBy(query).toLocalIterator()
-    schema = f"{query} {dict(queries.dtypes)[query]}, {item} {dict(items.dtypes)[item]}, sim double"
+    schema = f"{query} {dict(queries.dtypes)[query]}, {item} {dict(items.dtypes)[item]}, sim double" + (f", {owner} {dict(items.dtypes)[owner]}" if owner else "")
     kept, block = None, []
 
     def scan(block: list) -> DataFrame:
@@ -43,6 +48,27 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
                 out = [pa.array([ids[i] for i in who.tolist()]), batch.column(0).take(pa.array(which)), pa.array(sim[top.T.ravel(), who])]
                 yield pa.RecordBatch.from_arrays(out, names=[query, item, "sim"])
 
+        def best_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                order = np.lexsort((np.asarray(batch.column(0).to_pylist()), np.asarray(batch.column(2))))
+                starts = np.flatnonzero(np.diff(np.asarray(batch.column(2))[order], prepend=-1))
+                starts = np.union1d([0], starts).astype(np.int64)
+                ends = [*starts[1:].tolist(), batch.num_rows]
+                sim = np.round((x @ q.T)[order], 9)
+                at = np.stack([a + sim[a:b].argmax(axis=0) for a, b in zip(starts.tolist(), ends, strict=True)])
+                most = np.take_along_axis(sim, at, axis=0)
+                top = np.argsort(-most, axis=0, kind="stable")[:k]
+                who = np.repeat(np.arange(len(ids)), len(top))
+                which = pa.array(order[at[top.T.ravel(), who]])
+                out = [pa.array([ids[i] for i in who.tolist()]), batch.column(0).take(which), pa.array(most[top.T.ravel(), who]), batch.column(2).take(which)]
+                yield pa.RecordBatch.from_arrays(out, names=[query, item, "sim", owner])
+
+        if owner:
+            return items.select(item, vector, owner).mapInArrow(best_owners, schema)
         return items.select(item, vector).mapInArrow(best, schema)
 
     for r in rows:
@@ -53,6 +79,10 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
         last = scan(block) if block else items.sparkSession.createDataFrame([], schema)
         kept = last if kept is None else kept.unionByName(last)
     rounded = kept.withColumn("sim", F.round("sim", 9))
+    if owner:
+        first = F.row_number().over(Window.partitionBy(query, owner).orderBy(F.desc("sim"), item))
+        rounded = rounded.withColumn("rank", first).where("rank = 1")
+        item = owner
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim"), item))
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -63,6 +93,12 @@ def best_per_doc(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys, "doc_idx").agg(best.alias("b")).select(*keys, "doc_idx", "b.passage_id", "b.sim")
 
 
+def dense_scores(wanted: DataFrame, passages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(qid, passage_id, dense)``: each wanted passage's greatest inner product with its question's vectors ``(qid, embedding)``."""
+    met = wanted.select("qid", "passage_id").distinct().join(passages.select("passage_id", F.col("embedding").alias("own")), "passage_id").join(vectors, "qid")
+    return met.groupBy("qid", "passage_id").agg(F.max(F.round(dot("own", "embedding"), 9)).alias("dense"))
+
+
 def prizes(candidates: DataFrame, entity_ids: DataFrame, question_entities: DataFrame, config: Config = Config()) -> DataFrame:
     """Candidates with ``prize``: similarity plus a bonus if one of the sub-question's entities is the capsule's."""
     own = candidates.join(entity_ids, "canonical_id", "left").join(question_entities, ["qid", "gid"], "left")

@@ -91,8 +91,8 @@ class Engine:
 
         near = split(retrieval.dense_topk(passages, "passage_id", vectors, "node", c.retrieval_top_k, c)).drop("rank")
         near = cut(near.join(passages.select("passage_id", "doc_idx"), "passage_id"))
-        by_group = retrieval.best_per_doc(near, ["qid", "gid"])
-        by_question = cut(retrieval.best_per_doc(near, ["qid"]))
+        by_group = cut(split(retrieval.dense_topk(passages, "passage_id", vectors, "node", c.retrieval_top_k, c, owner="doc_idx")).drop("rank"))
+        by_question = cut(retrieval.best_per_doc(by_group, ["qid"]))
         fused = graph.rrf(by_group, ["qid", "gid"], "doc_idx", "sim", c.rrf_k, c.rrf_pool).groupBy("qid", "doc_idx").agg(F.sum("rrf").alias("rrf"))
 
         cands = split(retrieval.dense_topk(canonical, "canonical_id", vectors, "node", c.subq_top_capsule, c)).drop("rank")
@@ -137,12 +137,14 @@ class Engine:
         documents = retrieval.retrieved(ranked, by_question, c)
 
         dense = near.groupBy("qid", "passage_id", "doc_idx").agg(F.max("sim").alias("dense"))
-        per_doc = dense.join(ranked.where(F.col("rank") <= c.pool_docs).select("qid", "doc_idx"), ["qid", "doc_idx"])
+        asked_by = split(vectors).select("qid", "embedding")
+        pooled = ranked.where(F.col("rank") <= c.pool_docs).select("qid", "doc_idx").join(passages.select("passage_id", "doc_idx"), "doc_idx")
+        per_doc = retrieval.dense_scores(pooled, passages, asked_by).join(passages.select("passage_id", "doc_idx"), "passage_id")
         per_doc = per_doc.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc_idx").orderBy(F.desc("dense"), "passage_id"))).where(F.col("r") <= c.pool_per_doc)
         held = kept.join(shown, "canonical_id").select("qid", "gid", "canonical_id", F.explode("passage_ids").alias("passage_id"))
         anchor = dense.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "passage_id"))).where(F.col("r") <= 120)
         pool = retrieval.evidence_pool([("documents", per_doc), ("provenance", held), ("dense", anchor), ("walk", walked.where("kind = 'P'").select("qid", F.col("id").alias("passage_id")))])
-        pool = pool.join(passages.select("passage_id", "doc_idx", F.col("token_count").alias("tokens")), "passage_id").join(dense.select("qid", "passage_id", "dense"), ["qid", "passage_id"], "left")
+        pool = pool.join(passages.select("passage_id", "doc_idx", F.col("token_count").alias("tokens")), "passage_id").join(retrieval.dense_scores(pool, passages, asked_by), ["qid", "passage_id"], "left")
         pool = pool.withColumn("dense", F.coalesce("dense", F.lit(0.0)))
         hits = held.join(cands.select("qid", "gid", "canonical_id", "prize"), ["qid", "gid", "canonical_id"]).groupBy("qid", "gid", "passage_id").agg(F.max("prize").alias("hit"))
         weights = dag.leaves(nodes, above).select("qid", "gid", F.lit(c.leaf_weight).alias("weight"))

@@ -165,6 +165,23 @@ def test_evidence(spark):
     assert [r["passage_id"] for r in got][:2] == ["P2", "P0"] and sum(r["token_count"] for r in got) <= 1800
 
 
+def test_dense_documents(spark):
+    """A document with very many near passages does not keep others from being ranked."""
+    rows = [(f"P{i:03d}", 0, [1.0, i / 1000]) for i in range(300)] + [(f"Q{d:03d}{j}", d, [0.5 / d, j * 0.1]) for d in range(1, 40) for j in range(2)]
+    items = spark.createDataFrame(rows, "passage_id string, doc_idx long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([("1|a", [1.0, 0.0]), ("1|b", [0.2, 1.0])], "node string, embedding array<double>")
+    got = retrieval.dense_topk(items, "passage_id", asked, "node", 30, owner="doc_idx")
+    have = {(r["node"], r["rank"]): (r["doc_idx"], r["passage_id"], round(r["sim"], 6)) for r in got.collect()}
+    for node, v in (("1|a", [1.0, 0.0]), ("1|b", [0.2, 1.0])):
+        best = {}
+        for p, d, x in rows:
+            best.setdefault(d, []).append((-round(x[0] * v[0] + x[1] * v[1], 9), p))
+        want = sorted((min(b)[0], d, min(b)[1]) for d, b in best.items())[:30]
+        assert [have[node, i + 1] for i in range(30)] == [(d, p, round(-s, 6)) for s, d, p in want]
+    scores = retrieval.dense_scores(spark.createDataFrame([(1, "P299")], "qid long, passage_id string"), items, asked.selectExpr("1L AS qid", "embedding"))
+    assert scores.first()["dense"] == 1.0
+
+
 def test_documents_order(spark):
     scores = spark.createDataFrame([(1, i, 1.0 - i / 100) for i in range(10)], "qid long, doc_idx long, score double")
     covers = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 4)], "qid long, gid string, doc_idx long")
