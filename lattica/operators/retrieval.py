@@ -87,6 +87,18 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def sim_edges(canonical: DataFrame, config: Config = Config()) -> DataFrame:
+    """``(src, dst, sim)``: unordered pairs of capsule nodes of which one is among the other's nearest and similar enough.
+
+    As in the engine that is followed, a capsule counts among its own ``sim_edge_topk`` nearest.
+    """
+    asked = canonical.select(F.col("canonical_id").alias("other"), "embedding")
+    near = dense_topk(canonical, "canonical_id", asked, "other", config.sim_edge_topk, config)
+    near = near.where((F.col("other") != F.col("canonical_id")) & (F.col("sim") >= config.sim_edge_threshold))
+    a, b = F.concat(F.lit("C:"), "other"), F.concat(F.lit("C:"), "canonical_id")
+    return near.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "sim").dropDuplicates(["src", "dst"])
+
+
 def best_per_doc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Best passage of each document: ``(*keys, doc_idx, passage_id, sim)``, the smaller passage on ties."""
     best = F.max_by(F.struct("passage_id", "sim"), F.struct(F.col("sim"), -F.substring("passage_id", -3, 3).cast("int")))

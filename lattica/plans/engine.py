@@ -46,7 +46,7 @@ class Engine:
         clusters = cut(C.capsule_clusters(capsules, c))
         canonical = C.canonical_capsules(capsules, clusters)
         canonical = cut(canonical.join(C.centroids(capsules, clusters), "cluster").drop("cluster"))
-        edges = graph.evidence_edges(passages, canonical, None, c)
+        edges = graph.evidence_edges(passages, canonical, retrieval.sim_edges(canonical, c), c)
         entailed = modelled.entailment_edges(canonical, self.completer, c)
         edges = cut(edges.unionByName(entailed.select("src", "dst", "type", "cost")))
         self.tables = {

@@ -182,6 +182,19 @@ def test_dense_documents(spark):
     assert scores.first()["dense"] == 1.0
 
 
+def test_sim_edges(spark):
+    """All pairs across blocks of questions and batches, as brute force finds them."""
+    draw = random.Random(5)
+    rows = [(f"c{i:02d}", [draw.gauss(1, 0.6) for _ in range(4)]) for i in range(40)]
+    rows = [(k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for k, v in rows]
+    capsules_ = spark.createDataFrame(rows, "canonical_id string, embedding array<double>").repartition(3)
+    got = retrieval.sim_edges(capsules_, Config(sim_edge_topk=6, sim_edge_threshold=0.9, max_questions=7))
+    sim = {(a, b): round(sum(x * y for x, y in zip(u, v, strict=True)), 9) for a, u in rows for b, v in rows}
+    near = {a: sorted((b for b, _ in rows), key=lambda b, a=a: (-sim[a, b], b))[:6] for a, _ in rows}
+    want = {tuple(sorted((f"C:{a}", f"C:{b}"))) for a in near for b in near[a] if a != b and sim[a, b] >= 0.9}
+    assert want and {(r["src"], r["dst"]) for r in got.collect()} == want
+
+
 def test_documents_order(spark):
     scores = spark.createDataFrame([(1, i, 1.0 - i / 100) for i in range(10)], "qid long, doc_idx long, score double")
     covers = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 4)], "qid long, gid string, doc_idx long")
