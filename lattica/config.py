@@ -40,6 +40,7 @@ class Config:
     steps: int = 10
     alpha: float = 0.85
     rrf_k: int = 60
+    ppr_rrf_pool: int = 200
     ppr_prize_weight: float = 2.0
     # binding
     binding_candidates: int = 12
@@ -74,6 +75,7 @@ class Config:
     token_budget: int = 1800
     pool_docs: int = 50
     pool_per_doc: int = 4
+    pool_ppr_passages: int = 50
     evidence_dense: float = 0.25
     evidence_gain: float = 0.75
     same_doc_penalty: float = 0.1

@@ -96,6 +96,11 @@ def rrf(scores: DataFrame, keys: list[str], node: str, score: str, k: int, pool:
     return scores.withColumn("rank", rank).where(F.col("rank") <= pool).withColumn("rrf", 1.0 / (k + F.col("rank")))
 
 
+def propagated_ranks(walked: DataFrame, config: Config = Config()) -> DataFrame:
+    """``walked`` (``qid, kind, node, score``) with ``rank``, ``rrf`` and ``id``: the first ``ppr_rrf_pool`` nodes of each kind."""
+    return rrf(walked, ["qid", "kind"], "node", "score", config.rrf_k, config.ppr_rrf_pool).withColumn("id", F.substring("node", 3, 100))
+
+
 def shortest_paths(sources: DataFrame, adjacency: DataFrame, nodes: DataFrame, rounds: int = 6) -> DataFrame:
     """``(qid, source, node, cost, path)``: cheapest paths of up to ``rounds`` edges inside a question's nodes.
 

@@ -108,7 +108,7 @@ class Engine:
         seeds = seeds.unionByName(wanted.select("qid", F.concat(F.lit("E:"), "entity_id").alias("seed"), F.lit(1.0).alias("weight")).distinct()).join(many, "qid")
         nodes_ = cut(graph.induce(seeds, adjacency, c))
         walked = graph.mini_ppr(seeds, nodes_, adjacency, c).withColumn("kind", F.substring("node", 1, 1))
-        walked = cut(graph.rrf(walked, ["qid", "kind"], "node", "score", c.rrf_k, 50).withColumn("id", F.substring("node", 3, 100)))
+        walked = cut(graph.propagated_ranks(walked, c))
         cands = cut(retrieval.boosted(cands, walked.where("kind = 'C'").select("qid", F.col("id").alias("canonical_id"), "rrf"), c))
         chosen = cut(retrieval.beam_assign(cands, order, above, c))
 
@@ -143,7 +143,7 @@ class Engine:
         per_doc = per_doc.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc_idx").orderBy(F.desc("dense"), "passage_id"))).where(F.col("r") <= c.pool_per_doc)
         held = kept.join(shown, "canonical_id").select("qid", "gid", "canonical_id", F.explode("passage_ids").alias("passage_id"))
         anchor = dense.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "passage_id"))).where(F.col("r") <= 120)
-        pool = retrieval.evidence_pool([("documents", per_doc), ("provenance", held), ("dense", anchor), ("walk", walked.where("kind = 'P'").select("qid", F.col("id").alias("passage_id")))])
+        pool = retrieval.evidence_pool([("documents", per_doc), ("provenance", held), ("dense", anchor), ("walk", walked.where((F.col("kind") == "P") & (F.col("rank") <= c.pool_ppr_passages)).select("qid", F.col("id").alias("passage_id")))])
         pool = pool.join(passages.select("passage_id", "doc_idx", F.col("token_count").alias("tokens")), "passage_id").join(retrieval.dense_scores(pool, passages, asked_by), ["qid", "passage_id"], "left")
         pool = pool.withColumn("dense", F.coalesce("dense", F.lit(0.0)))
         hits = held.join(cands.select("qid", "gid", "canonical_id", "prize"), ["qid", "gid", "canonical_id"]).groupBy("qid", "gid", "passage_id").agg(F.max("prize").alias("hit"))

@@ -195,6 +195,13 @@ def test_sim_edges(spark):
     assert want and {(r["src"], r["dst"]) for r in got.collect()} == want
 
 
+def test_propagated_ranks(spark):
+    rows = [(1, kind, f"{kind}:{i:03d}", 1.0 - i / 1000) for kind in "CDP" for i in range(250)]
+    got = graph.propagated_ranks(spark.createDataFrame(rows, "qid long, kind string, node string, score double")).collect()
+    assert len(got) == 600
+    assert {(r["kind"], r["id"], r["rank"], round(r["rrf"], 9)) for r in got} == {(k, f"{i:03d}", i + 1, round(1 / (61 + i), 9)) for k in "CDP" for i in range(200)}
+
+
 def test_documents_order(spark):
     scores = spark.createDataFrame([(1, i, 1.0 - i / 100) for i in range(10)], "qid long, doc_idx long, score double")
     covers = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 4)], "qid long, gid string, doc_idx long")
