@@ -1,4 +1,7 @@
-"""Incremental indexing: new documents of a stream become passages and capsules of the index tables."""
+"""Incremental ingestion: new documents of a stream become passages of the index tables.
+
+Their capsules, entities and edges are not made; they come with the next ``Engine.index`` over the whole corpus.
+"""
 
 from __future__ import annotations
 
