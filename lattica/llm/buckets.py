@@ -34,8 +34,12 @@ def deal(df: DataFrame, keys: list[str], spread: str, block: int = BLOCK) -> Dat
 
 
 def together(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a key stand side by side in one partition."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+    """Rows of a key stand side by side in one partition.
+
+    The number of partitions is the session's: work that goes with the square of a block is not merged by its few bytes.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:

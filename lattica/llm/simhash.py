@@ -33,17 +33,25 @@ STRETCH = 1 << 16
 MANY = 1 << 22
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """64-bit SimHash over word shingles, repeats included; 0 without a word. ASCII letters are lower-cased."""
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of the word shingles in order, repeats included; fewer words are one shingle. ASCII letters are lower-cased."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) < size:
-        joined = [b" ".join(words)]
-    else:
-        joined = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+        return np.zeros(0, np.uint64)
+    joined = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in joined], np.uint64)
+    return np.fromiter((digest(s, SEED) for s in joined), np.uint64)
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 without a word."""
+    return majority(hashes(text, size))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), STRETCH):
         part = h[at : at + STRETCH]
