@@ -87,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lattica.llm import chat, mixing
+    from lattica.llm import chat, mixing, substrings
 
-    return {"op3_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op9_substring_dedup": substrings.ORACLE, "op10_chat_formatting": chat.ORACLE}

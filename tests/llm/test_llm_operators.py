@@ -287,37 +287,78 @@ def test_repeated_words_with_many_distinct():
     assert quality.repeated_words(ids, 300_000) == 60
 
 
-def brute_spans(rows, least):
+END = {"sentence": r"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*", "line": r"\n", "paragraph": r"\n[\x20\x09-\x0D]*\n"}
+
+
+def plain_units(text, unit):
+    """Every character goes to a piece; pieces without a word go to the piece before."""
+    pieces, rest = [], text
+    while rest:
+        m = re.search(END[unit], rest)
+        piece = rest[: m.end()] if m else rest
+        rest = rest[len(piece) :]
+        if words(piece) or not pieces:
+            pieces.append(piece)
+        else:
+            pieces[-1] += piece
+    at, out = 0, []
+    for x in pieces:
+        if words(x):
+            out.append((at, at + len(x), len(words(x)), " ".join(w.encode().lower().decode() for w in words(x))))
+        at += len(x)
+    return out
+
+
+def brute_spans(rows, least, unit):
     first, out = {}, []
     for d, t in rows:
         run = []
-        for s, e, n, g in [*substrings.cut_units(t or ""), (None, None, 0, None)]:
-            if g in first and g is not None:
-                run.append((s, e, n))
+        for s, e, n, g in [*plain_units(t or "", unit), (None, None, 0, None)]:
+            if g is not None and g in first:
+                run.append((s, e, n, first[g]))
                 continue
-            if sum(x[2] for x in run) >= least:
-                out.append((d, run[0][0], run[-1][1]))
+            if run and sum(x[2] for x in run) >= least:
+                out.append((d, run[0][0], run[-1][1], len(run), sum(x[2] for x in run), *run[0][3]))
             run = []
-            first.setdefault(g, d)
+            first.setdefault(g, (d, s))
     return sorted(out)
 
 
-def test_substrings(spark, odd, none, documents):
-    rows = sorted(documents.select("doc_id", "text").collect())
+@pytest.mark.parametrize("unit, least", [("sentence", 25), ("sentence", 0), ("line", 0), ("paragraph", 0)])
+def test_substrings(spark, documents, unit, least):
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").dropDuplicates(["doc_id"]).collect())
     passage = "Alpha beta gamma. " + " ".join(f"w{i}" for i in range(40)) + ". Done with it now."
     rows += [(5000 + k, f"Own words {k} before. {passage} And own {k} after.\nLine {k}") for k in range(20)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS words", "3 AS twin")
-    spans = substrings.repeated_spans(frame)
-    got = sorted((r["doc_id"], r["start"], r["stop"]) for r in spans.collect())
-    assert got == brute_spans(rows, substrings.MIN_WORDS) and {d for d, *_ in got if d > 5000} == set(range(5001, 5020))
+    rows += [(6000 + k, f"Mine {k}.\n \nA short  LINE here\n\n\t\nLast {k}") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS cuts", "3 AS twin", "4 AS doc", "5 AS own", "6 AS row_doc")
+    spans = substrings.repeated_spans(frame, unit=unit, min_words=least)
+    got = sorted((r["doc_id"], r["start"], r["stop"], r["n_units"], r["n_words"], r["kept_doc_id"], r["kept_start"]) for r in spans.collect())
+    want = brute_spans(rows, least, unit)
+    assert got == want and want
     cleaned = substrings.without_spans(frame, spans)
     assert cleaned.columns == frame.columns
     text = {r["doc_id"]: r["text"] for r in cleaned.collect()}
-    assert len(text) == len(rows) and [d for d in text if "w30" in text[d]] == [5000]
-    assert text[5007] == "Own words 7 before. And own 7 after.\nLine 7"
+    for d, t in rows:
+        for _, a, b, *_ in reversed([x for x in want if x[0] == d]):
+            t = t[:a] + t[b:]
+        assert text[d] == t
+    if unit == "sentence":
+        assert len(text) == len(rows) and [d for d in text if "w30" in text[d]] == [5000]
+    if least == 0 and unit == "line":
+        assert [d for d in text if "LINE" in text[d]] == [6000]
+
+
+def test_substrings_of_odd_rows(spark, odd, none):
+    """Equal rows are one document, rows of one key with other texts are others, null keys rank first."""
     spans = substrings.repeated_spans(odd)
     assert substrings.without_spans(odd, spans).count() == len(ODD)
-    assert substrings.repeated_spans(none).count() == 0
+    assert substrings.repeated_spans(none).count() == 0 and substrings.without_spans(none, substrings.repeated_spans(none)).count() == 0
+    one = "Words of a passage " + " ".join(f"p{i}" for i in range(30)) + "."
+    frame = spark.createDataFrame([(1, one), (1, one), (None, "First.\n" + one), (1, "Other. " + one), (1, "Other. " + one)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["n_units"], r["kept_doc_id"], r["kept_start"]) for r in substrings.repeated_spans(frame).collect())
+    assert got == [(1, 0, 1, None, 7), (1, 7, 1, None, 7)]
+    left = sorted(r["text"] for r in substrings.without_spans(frame, substrings.repeated_spans(frame)).collect())
+    assert left == ["", "", "First.\n" + one, "Other. ", "Other. "]
 
 
 def test_chat(spark):
