@@ -79,7 +79,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
     out = rotate(table(spark, sf_dir, "conversations"))
-    return out.withColumn("mask_spans", spans).withColumn("text_md5", F.md5("text")).drop("masks", "text")
+    return out.withColumn("mask_spans", spans).drop("masks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
