@@ -72,19 +72,15 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-class Roots:
-    """Union-find over the positions of one block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return a
-
-    def link(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def join_roots(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Hooks the roots of ``i`` and ``j`` pairwise to the smaller one, in place, until no pair has two; ``up`` stays flat."""
+    while len(i):
+        a, b = up[i], up[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                break
+            up[:] = higher

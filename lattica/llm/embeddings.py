@@ -4,7 +4,8 @@ On unit vectors a cosine of at least ``c`` is a distance of at most ``eps = sqrt
 of a label: each is owned by the cell of its nearest pivot. By the triangle inequality a partner of ``x`` whose own
 pivot is at distance ``d`` lies within ``d(y, p) <= d(y, own) + 2 eps`` of the pivot ``p`` of ``x``, so ``y`` is also sent
 to every such cell as a visitor, and each cell joins its own vectors with all that came, independently of other cells.
-Cells that are still large are dealt out as a grid of blocks.
+Every label has pivots, one for so many of its vectors; they meet its vectors in blocks of bounded size. Cells that are
+still large are dealt out as a grid of blocks.
 """
 
 from __future__ import annotations
@@ -17,40 +18,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.buckets import Roots, deal, groups, together
+from lattica.llm.buckets import deal, groups, join_roots, together
 from lattica.operators.components import connected_components
 from lattica.plans.checkpoints import cut
 
 COSINE = 0.93
-#: Vectors for one pivot, pivots of a label at most, and labels (the largest) that get pivots at most.
-PER_PIVOT, PIVOTS, LABELS = 4096, 16, 512
+#: Vectors for one pivot, and pivots of a label at most.
+PER_PIVOT, PIVOTS = 64, 16
 #: Vectors that meet in one block, about.
 BLOCK = 4096
 #: Distances are compared with so much slack, far above rounding; the cosine itself decides.
 SLACK = 1e-9
 KEYS = ["label", "size", "cell"]
+BLOCKS = ["label", "size", "salt"]
 
 
 def _units(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors of length one; the largest component is divided out first, so that no square overflows or vanishes."""
     x = np.asarray(column.flatten(), np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _cells(batches: Iterator[pa.RecordBatch], pivots: dict, eps: float) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], eps: float) -> Iterator[pa.RecordBatch]:
+    """The cells of each vector; in every block (label, length, salt) the pivots come first."""
+    held, pivots = None, None
     for batch in batches:
-        label, size = (batch.column(c).to_numpy() for c in ("label", "size"))
-        for key in set(zip(label.tolist(), size.tolist(), strict=True)):
-            rows = np.flatnonzero((label == key[0]) & (size == key[1]))
-            part = batch.take(pa.array(rows))
-            own, take, cell = np.ones(len(rows), bool), np.arange(len(rows)), np.zeros(len(rows), np.int32)
-            if key in pivots:
-                x = _units(part.column("vector"), key[1])
-                far = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots[key].T))
-                near = far.argmin(axis=1)
-                take, cell = np.nonzero(far <= far[np.arange(len(x)), near][:, None] + 2 * eps + SLACK)
-                own = near[take] == cell
-            sent = part.take(pa.array(take))
-            data = [*sent.columns, pa.array(cell.astype(np.int32)), pa.array(own)]
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in BLOCKS])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part, key = batch.slice(a, b - a), tuple(keys[:, a].tolist())
+            first = part.column("first").to_numpy(zero_copy_only=False)
+            if key != held:
+                held, pivots = key, np.zeros((0, key[1]))
+            x = _units(part.column("vector"), key[1])
+            pivots = np.concatenate([pivots, x[first]])
+            rows = np.flatnonzero(~first)
+            if not len(rows):
+                continue
+            far = np.sqrt(np.maximum(0, 2 - 2 * x[rows] @ pivots.T))
+            near = far.argmin(axis=1)
+            take, cell = np.nonzero(far <= far[np.arange(len(rows)), near][:, None] + 2 * eps + SLACK)
+            sent = part.take(pa.array(rows[take])).select(["label", "size", "id", "n", "vector"])
+            data = [*sent.columns, pa.array(cell.astype(np.int32)), pa.array(near[take] == cell)]
             yield pa.RecordBatch.from_arrays(data, names=[*sent.schema.names, "cell", "own"])
 
 
@@ -63,7 +73,7 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         n, ids, own = (block.column(c).to_numpy() for c in ("n", "id", "own"))
         part = block.column("part_own").to_numpy()
         across = block.column("part_lo")[0].as_py() != block.column("part_hi")[0].as_py()
-        roots, count = Roots(len(x)), np.zeros(len(x), np.int64)
+        roots, count = np.arange(len(x)), np.zeros(len(x), np.int64)
         for a in range(0, len(x), 512):
             b = min(len(x), a + 512)
             hit = x[a:b] @ x.T >= cosine
@@ -73,13 +83,10 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
                 hit &= part[a:b, None] != part[None, :]
             count[a:b] = hit @ n
             i, j = np.nonzero(hit)
-            for p, q in zip((i + a).tolist(), j.tolist(), strict=True):
-                if roots.up[p] != roots.up[q]:
-                    roots.link(p, q)
-        top = np.array([roots.find(p) for p in range(len(x))])
-        some = np.flatnonzero((count > 0) | (top != np.arange(len(x))))
+            join_roots(roots, i + a, j)
+        some = np.flatnonzero((count > 0) | (roots != np.arange(len(x))))
         if len(some):
-            data = [pa.array(ids[some]), pa.array(ids[top[some]]), pa.array(count[some])]
+            data = [pa.array(ids[some]), pa.array(ids[roots[some]]), pa.array(count[some])]
             yield pa.RecordBatch.from_arrays(data, names=["src", "dst", "links"])
 
 
@@ -103,19 +110,21 @@ def near_vectors(
     classes = rows.where("good").groupBy(*same).agg(F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("key").alias("low"))
     classes = cut(classes).withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.size("vector"))
 
-    large = classes.groupBy("label", "size").count().where(F.col("count") > PER_PIVOT).orderBy(F.desc("count"), "label", "size").limit(LABELS)
-    pivots = {}
-    for r in large.collect():
-        wanted = min(PIVOTS, math.ceil(r["count"] / PER_PIVOT))
-        own = classes.where((F.col("label") == r["label"]) & (F.col("size") == r["size"])).orderBy("h1", "h2").limit(wanted)
-        x = np.array([v["vector"] for v in own.select("vector").collect()])
-        pivots[r["label"], r["size"]] = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    plan = classes.groupBy("label", "size").agg(F.count("*").alias("held"))
+    plan = plan.select(
+        "label", "size", F.least(F.lit(PIVOTS), F.ceil(F.col("held") / PER_PIVOT)).cast("int").alias("wanted"), F.ceil(F.col("held") / (2 * block)).cast("int").alias("salts")
+    )
+    met = classes.join(plan, ["label", "size"])
+    chosen = met.groupBy("label", "size", F.pmod("h2", "wanted").alias("which")).agg(F.min_by("vector", F.struct("h1", "h2")).alias("vector"), F.first("salts").alias("salts"))
+    chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    columns = [*BLOCKS, "first", "id", "n", "vector"]
+    chosen = chosen.withColumns({"first": F.lit(True), "id": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).select(*columns)
+    dealt = met.withColumns({"salt": F.pmod("h1", "salts").cast("int"), "first": F.lit(False)}).select(*columns)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chosen.unionByName(dealt).repartition(partitions, *BLOCKS).sortWithinPartitions(*BLOCKS, F.desc("first"))
     eps = math.sqrt(2 - 2 * cosine)
-    out = "label long, size int, id long, n long, vector array<double>, cell int, own boolean"
-    cells = classes.select("label", "size", "id", "n", "vector").mapInArrow(lambda b: _cells(b, shared.value, eps), out)
-    if pivots:
-        cells = cut(cells)
+    cells = dealt.mapInArrow(lambda b: _cells(b, eps), "label long, size int, id long, n long, vector array<double>, cell int, own boolean")
+    cells = cut(cells)
     sides = [*KEYS, "part_lo", "part_hi"]
     side = together(deal(cells, KEYS, "id", block).select(*sides, "part_own", "id", "n", "own", "vector"), sides)
     found = cut(side.mapInArrow(lambda b: _links(b, cosine), "src long, dst long, links long"))

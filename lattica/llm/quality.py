@@ -143,13 +143,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, ridge: float = 1e-3) -> QualityModel:
-    """Fit on at most ``sample`` labelled rows. Without both labels among them every row gets the one label's rate."""
+    """Fit on at most ``sample`` labelled rows. Without both labels among them every row gets the one label's rate.
+
+    However few rows there are, the weights come from the rows outside the calibration fold. If that leaves them without one of
+    the labels, the fold is theirs too.
+    """
     rows = labelled(docs, labels, label, sample)
     got = each_text(rows, "text", lambda: lambda t: _frequencies(t or ""), "packed binary", ["key", "y"]).collect()
     got = sorted(got, key=lambda r: r["key"])
     y = np.array([r["y"] for r in got], float)
     width = 2 << BITS
-    if len(got) < 40 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 1.0
         return QualityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, 0.0, float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
     fold = np.arange(len(got)) % FOLD == 0
@@ -174,6 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return np.concatenate(r), np.concatenate(c), np.concatenate(v)
 
     fit, rest = np.flatnonzero(~fold), np.flatnonzero(fold)
+    if y[fit].min() == y[fit].max():
+        fit = np.arange(len(got))
     w, b = logistic(*matrix(fit), y[fit], len(used), ridge)
     r, c, v = matrix(rest)
     a, d = platt(np.bincount(r, v * w[c], len(rest)) + b, y[rest])

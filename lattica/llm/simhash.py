@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.buckets import Roots, deal, groups, together
+from lattica.llm.buckets import deal, groups, join_roots, together
 from lattica.llm.rows import each_text
 from lattica.operators.components import connected_components
 from lattica.plans.checkpoints import cut
@@ -97,7 +97,7 @@ def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         fp, far = fp[order], far[order]
         first = far[:, 0].astype(np.int16)
         stop = np.searchsorted(first, first + k, side="right")
-        roots, bits = Roots(len(fp)), fp.view(np.uint64)
+        roots, bits = np.arange(len(fp)), fp.view(np.uint64)
         step = max(1, min(512, (1 << 21) // len(fp)))
         for a in range(0, len(fp), step):
             b = min(len(fp), a + step)
@@ -108,12 +108,10 @@ def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             i, j = np.nonzero(alive)
             near = np.bitwise_count(bits[a + i] ^ bits[a + j]) <= k
             i, j = i[near] + a, j[near] + a
-            for x, y in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
-                roots.link(x, y)
-        top = np.array([roots.find(x) for x in range(len(fp))])
-        moved = np.flatnonzero(top != np.arange(len(fp)))
+            join_roots(roots, i[i < j], j[i < j])
+        moved = np.flatnonzero(roots != np.arange(len(fp)))
         if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[top[moved]])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[roots[moved]])], names=["src", "dst"])
 
 
 def linked(prints: DataFrame, k: int = 3, block: int = 8192) -> DataFrame:

@@ -145,12 +145,7 @@ def test_embeddings(spark, block):
         rows.append((i, [float(np.float32(x)) for x in v], i % 3 if i % 11 else None))
     odd = [(400, None, 1), (401, [], 1), (402, [0.0] * 8, 1), (403, [None] + [1.0] * 7, 1), (404, [float("nan")] * 8, 1), (405, [float("inf")] + [0.0] * 7, 1)]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS n", "2 AS id", "3 AS cell")
-    per = embeddings.PER_PIVOT
-    embeddings.PER_PIVOT = 30
-    try:
-        got = {r["vec_id"]: r for r in embeddings.near_vectors(frame, block=block).collect()}
-    finally:
-        embeddings.PER_PIVOT = per
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(frame, block=block).collect()}
     x = np.array([v for _, v, _ in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.93
@@ -163,6 +158,14 @@ def test_embeddings(spark, block):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_length(spark):
+    """Directions decide, however long a vector is; labels of one or two vectors have a pivot too."""
+    rows = [(1, [1e200, 2e200], 1), (2, [1.0, 2.0], 1), (3, [1e-200, 2e-200], 1), (4, [2.0, -1.0], 1), (5, [1.0, 2.0], 2), (6, [5e-324, 0.0], 3), (7, [3.0, 0.0], 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_html(spark):
     page = """<!doctype html><html><head><title>T</title><script>var a="</p>";</script></head><body>
     <header><a href=/>Home</a></header><nav><ul><li><a href=/a>a</a></ul></nav><div class="ad">Buy &amp; buy</div><!-- x -->
@@ -280,6 +283,18 @@ def test_quality(spark, odd, none):
     assert {r["kept"] for r in quality.quality(docs, quality.train(docs, labels.limit(0))).where("NOT base_failed").collect()} == {True}
 
 
+def test_quality_of_few_labels(spark):
+    """The verdict follows the labels however few rows there are, on both sides of any count."""
+    good = " ".join(f"sound{i % 7} words{i % 5} here{i % 11}" for i in range(12))
+    bad = "$$$ ### %%% " + " ".join(f"q{i}x zz{i}" for i in range(20)) + " $$$ ### &&&"
+    for n in (4, 12, 39, 41):
+        rows = [(k, f"{good if k % 2 else bad} n{k}", k % 2) for k in range(n)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+        model = quality.train(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+        got = {r["doc_id"]: r["probability"] for r in quality.quality(frame.select("doc_id", "text"), model).collect()}
+        assert min(got[k] for k in range(1, n, 2)) > max(got[k] for k in range(0, n, 2))
+
+
 def test_repeated_words_with_many_distinct():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 300_000, 4000)
