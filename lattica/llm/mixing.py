@@ -27,10 +27,20 @@ ROUNDS = 40
 NEAR = 1e-9
 #: Documents that stand in one slice of a source when they are put in order.
 SLICE = 20_000
+#: Base rates by words: fragments and very long documents start lower, so that a source's words come from whole middling texts first.
+BASE_RATES = ((50, 0.5), (1000, 1.0), (None, 0.75))
 #: Sources up to which their table is sent to every executor; beyond it is joined by shuffling.
 FEW = 10_000
 
 
+def base_rate(size: F.Column) -> F.Column:
+    """The base rate of a document of so many words, by ``BASE_RATES`` (words below which a rate holds)."""
+    rate = F.lit(BASE_RATES[-1][1])
+    for below, x in reversed(BASE_RATES[:-1]):
+        rate = F.when(size < below, F.lit(x)).otherwise(rate)
+    return rate
+
+
 def n_words(text: str) -> F.Column:
     """Words of a whole text; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -114,7 +124,7 @@ def mix(
     a part of one, at most ``cap`` copies for a whole ``cap``. The taken words of a source sum to its target, rounded.
     Null texts have size 0 and take 0. A null source is a source, the last one. A null key is a key like any other;
     repeated rows are documents of their own, and which of several identical ones is taken further is arbitrary but how
-    many is not. ``base`` gives positive base rates (default 1). Only key, text and source are read. Empty tables give
+    many is not. ``base`` gives positive base rates (default: ``base_rate`` of the size). Only key, text and source are read. Empty tables give
     no rows. ``twin`` is the hash of the text.
     """
     rows = docs.select(
@@ -122,7 +132,7 @@ def mix(
         F.col(source).cast("string").alias("source"),
         F.xxhash64(F.col(text).cast("string")).alias("twin"),
         n_words(text).alias("size"),
-        (F.lit(1.0) if base is None else base.cast("double")).alias("base"),
+        (base_rate(n_words(text)) if base is None else base.cast("double")).alias("base"),
     )
     sized = cut(rows)
     mass = cut(sized.groupBy("source", "base").agg(F.sum("size").cast("double").alias("words"), F.count("*").alias("n")))
@@ -180,11 +190,21 @@ l AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE
       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY full_at, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS lev FROM f),
 o AS (SELECT lev FROM l WHERE lev < full_at ORDER BY full_at, nr LIMIT 1),
 t AS (SELECT l.source, source_size, CASE WHEN o.lev IS NULL OR full_at <= o.lev THEN most ELSE o.lev * w END AS target FROM l LEFT JOIN o ON true),
-g AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        CASE WHEN t.target >= t.source_size THEN 1 ELSE 0 END AS whole,
-        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+b AS (SELECT *, CASE {" ".join(f"WHEN size < {n} THEN {x}::DOUBLE" for n, x in BASE_RATES[:-1])} ELSE {BASE_RATES[-1][1]}::DOUBLE END AS base FROM d),
+m AS (SELECT source, base, sum(size)::DOUBLE AS words FROM b GROUP BY source, base),
+k AS (SELECT m.source, m.base, t.target,
+        (t.target - coalesce(sum({CAP}::DOUBLE * m.words) OVER (PARTITION BY m.source ORDER BY m.base DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+          / nullif(sum(m.base * m.words) OVER (PARTITION BY m.source ORDER BY m.base DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS tilt
+      FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT source, arg_max(tilt, base) FILTER (WHERE tilt * base < {CAP}) AS tilt FROM k GROUP BY source),
+r2 AS (SELECT b.doc_id, b.source, b.size, t.source_size, t.target, least({CAP}::DOUBLE, coalesce(b.base * x.tilt, {CAP}::DOUBLE)) AS rate,
+        md5(coalesce(b.doc_id::VARCHAR, '')) AS digest
+      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source JOIN x ON b.source IS NOT DISTINCT FROM x.source),
+o2 AS (SELECT *, floor(rate)::BIGINT AS whole, CASE WHEN rate > floor(rate)
+        THEN (('0x' || substr(digest, 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE) / (rate - floor(rate)) END AS place FROM r2),
+g AS (SELECT *, sum(whole * size) OVER (PARTITION BY source) AS given,
+        coalesce(sum(CASE WHEN place IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place NULLS FIRST, digest, size
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o2)
 SELECT doc_id, size, source_size, target,
-  (whole * size + least(size, greatest(0, round(target)::BIGINT - whole * source_size - ahead)))::BIGINT AS taken FROM g
+  (whole * size + CASE WHEN place IS NULL THEN 0 ELSE least(size, greatest(0, round(target)::BIGINT - given - ahead)) END)::BIGINT AS taken FROM g
 """
