@@ -3,8 +3,9 @@
 Every element of the page's tree gets its characters per tag, adjusted by the share of characters and tags that stand in
 links; an element's density sum adds up the densities of its children that are blocks. The element with the largest sum is the main
 content, the smallest density on its path up to the body is the threshold, and other elements beside that path whose
-density reaches it are content too. Elements that are never content (scripts, menus, forms, comments of readers, ...)
-are taken out of the tree first, by their names and by the words of their classes, ids and roles.
+density reaches it are content too. Inside what is chosen, blocks of links that stay below the threshold go. Elements that
+cannot hold main text (scripts, menus, form controls, ...) are taken out of the tree first by their names; densities
+cannot tell an advert or a reader's comment from a paragraph, so elements that name themselves such by a whole class, id or role go too.
 """
 
 from __future__ import annotations
@@ -27,21 +28,23 @@ TOKEN = re.compile(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 DROPPED = frozenset(
-    "head nav header footer aside form button select option menu dialog svg math canvas audio video object applet figcaption".split()
+    "head nav header footer aside form button select option menu dialog svg canvas audio video object applet".split()
 )
-#: Words of classes, ids and roles that mark what is not main text.
+#: Classes, ids and roles that mark what is not main text, alone or as the last of joined words (``cookie-notice``).
 MARKED = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs"
     " header masthead footer sidebar aside widget cookie cookies consent notice alert popup modal newsletter subscribe signup login"
     " share sharing social related recommended comment comments disqus respond replies search toolbar pagination pager copyright"
-    " legal contentinfo complementary dialog form".split()
+    " contentinfo complementary dialog".split()
 )
 WORDS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
+#: Links in a block, and their share of its characters, from which it can be a list of links.
+LINKS, SHARE = 2, 0.8
 #: Elements that stand in a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup"
-    " time tt u var wbr td th ruby rt rp".split()
+    " time tt u var wbr td th ruby rt rp math mi mn mo mrow msup msub mfrac msqrt mtext semantics".split()
 )
 #: What an opening tag ends before it, if that is open and nothing of the second set stands between.
 ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -65,7 +68,12 @@ def _skipped(name: str, attributes: str, open_: list[Node]) -> bool:
         return name != "header" or not any(x.name == "article" for x in open_)
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    return any(w in MARKED for m in WORDS.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    for m in WORDS.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in SPLIT.split(name) if w]
+            if words and words[-1] in MARKED:
+                return True
+    return False
 
 
 def tree(page: str) -> Node:
@@ -164,8 +172,12 @@ def densities(order: list[Node], body: Node) -> None:
         node.dense = c / t * (math.log(top) / math.log(base) if base > 1 + 1e-9 and top > 1 else (math.log(max(top, 1)) if top > 1 else 0.0))
 
 
-def _blocks(parts: list, out: list[str]) -> None:
-    """Texts of the blocks in page order; white space inside one becomes one space."""
+def _of_links(x: Node, least: float) -> bool:
+    return x.within >= LINKS and x.links >= SHARE * x.chars and x.dense < least and x.name not in INLINE
+
+
+def _blocks(parts: list, out: list[str], least: float) -> None:
+    """Texts of the blocks in page order without lists of links; white space inside one becomes one space."""
     line: list[str] = []
 
     def end() -> None:
@@ -185,7 +197,7 @@ def _blocks(parts: list, out: list[str]) -> None:
                 end()
         elif isinstance(x, str):
             line.append(x)
-        elif not x.skip:
+        elif not x.skip and not _of_links(x, least):
             block = x.name not in INLINE
             if block:
                 end()
@@ -223,18 +235,18 @@ def main_text(page: str | None) -> str:
 
     stack = [iter(body.parts)] if body is not best else []
     if body is best:
-        _blocks(best.parts, out)
+        _blocks(best.parts, out, least)
     while stack:  # down the path; what stands beside it is content if it is as dense
         x = next(stack[-1], None)
         if x is None:
             stack.pop()
         elif isinstance(x, Node) and not x.skip:
             if x is best:
-                _blocks(x.parts, out)
+                _blocks(x.parts, out, least)
             elif id(x) in path:
                 stack.append(iter(x.parts))
             elif x.chars and x.dense >= least and x.name not in INLINE:
-                _blocks(x.parts, out)
+                _blocks(x.parts, out, least)
     return "\n\n".join(out)
 
 

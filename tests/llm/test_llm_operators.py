@@ -182,6 +182,109 @@ def test_html(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+def test_html_keeps_named_parts_of_the_article():
+    """Classes that only hold a marked word stay, captions and formulas too; an unmarked list of links goes."""
+    long = "A paragraph of the article with a good number of plain words in it, so that it is dense. " * 3
+    page = f"""<body><nav><a href=1>x</a></nav><div><p>{long}</p><div class="legal analysis"><p>Legal {long}</p></div>
+    <div class="alert-level story form"><p>Story {long}</p></div><figure><figcaption>A caption.</figcaption></figure><p>So <math>x = 1</math> holds.</p>
+    <ul><li><a href=1>One other page</a></li><li><a href=2>Two other pages</a></li><li><a href=3>Three</a></li></ul>
+    <p>See <a href=4>this</a>.</p><div class="cookie-notice"><p>We use cookies and {long}</p></div></div></body>"""
+    want = [long, "Legal " + long, "Story " + long, "A caption.", "So x = 1 holds.", "See this."]
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
+def plain_density(page):
+    """Main text of a well-formed page by a plain recursive computation over the standard library's parser."""
+    import math
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = ("html", [])
+            self.open = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, [])
+            self.open[-1][1].append(node)
+            self.open.append(node)
+
+        def handle_endtag(self, tag):
+            assert self.open.pop()[0] == tag
+
+        def handle_data(self, data):
+            self.open[-1][1].append(data)
+
+    parser = Parser()
+    parser.feed(page)
+    body = parser.top[1][0]
+    inline = {"a", "b"}
+    chars = lambda n: sum(len(x.replace(" ", "")) if isinstance(x, str) else chars(x) for x in n[1])
+    tags = lambda n: sum(1 + tags(x) for x in n[1] if not isinstance(x, str))
+    linked = lambda n: chars(n) if n[0] == "a" else sum(linked(x) for x in n[1] if not isinstance(x, str))
+    link_tags = lambda n: tags(n) if n[0] == "a" else sum((x[0] == "a") + link_tags(x) for x in n[1] if not isinstance(x, str))
+
+    def density(n):
+        c, t, lc, lt = chars(n), max(1, tags(n)), max(1, linked(n)), max(1, link_tags(n))
+        if not c or c * t <= lc * lt:
+            return 0.0
+        base = math.log(c / max(1, c - linked(n)) * linked(n) + linked(body) / max(1, chars(body)) * c + math.e)
+        return c / t * math.log(c * t / lc / lt) / (math.log(base) if base > 1 + 1e-9 else 1)
+
+    every = lambda n: [n, *(y for x in n[1] if not isinstance(x, str) for y in every(x))]
+    nodes = [n for n in every(body) if n[0] not in inline]
+    total = lambda n: sum(density(x) for x in n[1] if not isinstance(x, str) and x[0] not in inline)
+    best = nodes[max(range(len(nodes)), key=lambda k: (total(nodes[k]), -k))]
+    way = lambda n: [n] if n is best else next(([n, *w] for x in n[1] if not isinstance(x, str) if (w := way(x))), [])
+    path = way(body)
+    least = min(density(n) for n in path)
+    out = []
+
+    def emit(n):
+        line = ""
+        for x in n[1]:
+            if isinstance(x, str):
+                line += x
+            elif x[0] in inline:
+                line += "".join(y if isinstance(y, str) else "".join(y[1]) for y in x[1])
+            else:
+                out.append(line)
+                line = ""
+                if not (link_tags(x) >= 2 and linked(x) >= 0.8 * chars(x) and density(x) < least):
+                    emit(x)
+        out.append(line)
+
+    def down(n):
+        for x in n[1]:
+            if isinstance(x, str) or x[0] in inline:
+                continue
+            if x is best or (not any(x is p for p in path) and chars(x) and density(x) >= least):
+                emit(x)
+            elif any(x is p for p in path):
+                down(x)
+
+    emit(body) if best is body else down(body)
+    return "\n\n".join(" ".join(x.split()) for x in out if x.split())
+
+
+def test_html_density_against_plain_recursion():
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join("".join(rng.choice([*"abcdefgh"], rng.integers(1, 9))) for _ in range(n))
+
+    def block(depth):
+        kind = rng.integers(0, 10)
+        if depth == 0 or kind < 5:
+            inner = some(rng.integers(1, 60)) + (f" <a>{some(2)}</a> {some(rng.integers(0, 9))}" if rng.random() < 0.3 else "") + ("<b>bold one</b>" if rng.random() < 0.2 else "")
+            return f"<p>{inner}</p>"
+        if kind < 7:
+            return "<ul>" + "".join(f"<li><a>{some(rng.integers(1, 4))}</a></li>" for _ in range(rng.integers(1, 6))) + "</ul>"
+        return "<div>" + "".join(block(depth - 1) for _ in range(rng.integers(1, 6))) + "</div>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(block(3) for _ in range(rng.integers(1, 6))) + "</body>"
+        assert html_text.main_text(page) == plain_density(page), page
+
+
 def test_html_pages(spark):
     for p in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         body = re.split("</article>|<footer>", p["html"].split("<article>")[1])[0]
