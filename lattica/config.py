@@ -15,6 +15,7 @@ class Config:
     person_merge: bool = True
     min_freq_lowercase: int = 2
     max_tokens_lowercase: int = 4
+    merge_capsules: bool = True
     merge_threshold: float = 0.88
     predicate_free_threshold: float = 0.93
     neighbor_limit: int = 0
@@ -28,6 +29,8 @@ class Config:
     dag_max_nodes: int = 7
     # vectors
     dim: int = 64
+    embedder: str = "hashed"
+    query_instruction: str = ""
     # candidates
     subq_top_capsule: int = 50
     entity_match_bonus: float = 0.05
@@ -51,6 +54,7 @@ class Config:
     repeat_doc_penalty: float = 0.03
     repeat_capsule_penalty: float = 0.02
     induced_max_nodes: int = 6000
+    neighbor_expand_sim_top_m: int = 0
     # document ranking
     dense_weight: float = 0.9
     rrf_pool: int = 120

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lattica.functions.text import _col
+from lattica.functions.text import _col, bound
 
-DAG = "nodes array<struct<id:string,question:string,depends_on:array<string>,operator:string>>, edges array<struct<source:string,target:string,type:string>>"
+DAG = "nodes array<struct<id:string,question:string,depends_on:array<string>,operator:string>>, edges array<string>"
+#: Names under which an edge may give its ends; an edge may also be a pair.
+EDGE_ENDS = (("$.source", "$.from", "$.src", "$[0]"), ("$.target", "$.to", "$.dst", "$[1]"))
 
 
 def json_object(text: Column | str) -> Column:
@@ -33,8 +35,15 @@ def _read(text: Column | str, schema: str, key: str, needed: str) -> Column:
 
 def read_dag(text: Column | str) -> Column:
     """Nodes and edges of a question graph: trailing commas, a missing comma before "edges", single quotes and Python
-    literals are put up with; null if nothing can be read."""
-    return _read(text, DAG, "edges", "nodes")
+    literals are put up with; null if nothing can be read. Ends of edges may be called source, from or src and target, to
+    or dst, and an edge may be a pair."""
+
+    def ends(e: Column) -> Column:
+        plain = F.regexp_replace(e, "'", '"')
+        return F.struct(*[F.coalesce(*[F.get_json_object(x, n) for n in names for x in (e, plain)]).alias(c) for c, names in zip(("source", "target"), EDGE_ENDS, strict=True)])
+
+    read = _read(text, DAG, "edges", "nodes")
+    return F.when(read.isNotNull(), F.struct(read["nodes"].alias("nodes"), F.transform(read["edges"], ends).alias("edges")))
 
 
 def read_selected(text: Column | str) -> Column:
@@ -50,6 +59,8 @@ def question_lines(text: Column | str, question: Column | str, most: int = 7) ->
 
 
 def distinct_provenance(provenance: Column | str) -> Column:
-    """Distinct by place (not by quote), in order of document, passage and sentence."""
-    place = lambda p: F.struct(p["doc_idx"].alias("doc_idx"), p["passage_id"].alias("passage_id"), p["sent_id"].alias("sent_id"))
-    return F.array_sort(F.array_distinct(F.transform(_col(provenance), place)))
+    """Distinct by place (document, passage, sentence), the smallest quote of each, in that order."""
+    place = lambda p: F.struct(p["doc_idx"].alias("doc_idx"), p["passage_id"].alias("passage_id"), p["sent_id"].alias("sent_id"), p["doc_id"].alias("doc_id"), p["quote"].alias("quote"))
+    same = lambda a, b: (a["doc_idx"] == b["doc_idx"]) & (a["passage_id"] == b["passage_id"]) & (a["sent_id"] == b["sent_id"]) & (a["doc_id"] == b["doc_id"])
+    ordered = F.array_sort(F.array_distinct(F.transform(_col(provenance), place)))
+    return bound(ordered, lambda o: F.filter(o, lambda p, i: (i == 0) | ~same(p, F.get(o, i - 1))))

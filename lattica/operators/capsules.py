@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.config import Config
+from lattica.functions import json_text as J
 from lattica.functions.vectors import dot, l2_normalize
 from lattica.operators.components import connected_components
 
@@ -43,7 +44,9 @@ def copies(capsules: DataFrame) -> DataFrame:
 
 
 def capsule_clusters(capsules: DataFrame, config: Config = Config()) -> DataFrame:
-    """``(capsule_id, cluster)``: components of similar pairs; cluster is the smallest member."""
+    """``(capsule_id, cluster)``: components of similar pairs; cluster is the smallest member. Without ``merge_capsules`` each is its own."""
+    if not config.merge_capsules:
+        return capsules.select("capsule_id", F.col("capsule_id").alias("cluster"))
     tied = copies(capsules)
     firsts = capsules.join(tied.where(F.col("capsule_id") == F.col("copy_of")), "capsule_id", "left_semi")
     pairs = similar_pairs(firsts, config).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -53,16 +56,19 @@ def capsule_clusters(capsules: DataFrame, config: Config = Config()) -> DataFram
 
 
 def canonical_capsules(capsules: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``(canonical_id, text, predicate, polarity, entity_ids, doc_idxs, passage_ids, member_ids, freq, cluster)``.
+    """``(canonical_id, text, predicate, polarity, arguments, entity_ids, provenance, num_provenance, doc_idxs, passage_ids, member_ids, freq, cluster)``.
 
-    Numbers follow the smallest member; the member with the smallest id represents a cluster, provenance is distinct.
+    Numbers follow the smallest member. The member with the most provenance represents a cluster, of several the one with the
+    smallest id; provenance is distinct by place and in its order.
     """
     rows = capsules.join(clusters, "capsule_id")
+    listed = F.col("provenance") if dict(capsules.dtypes)["provenance"].startswith("array") else F.array("provenance")
+    rows = rows.withColumn("places", J.distinct_provenance(listed))
+    order = F.struct(-F.size("places"), F.col("capsule_id"))
     grouped = rows.groupBy("cluster").agg(
-        F.min_by("text", "capsule_id").alias("text"),
-        F.min_by("predicate", "capsule_id").alias("predicate"),
-        F.min_by("polarity", "capsule_id").alias("polarity"),
+        F.min_by(F.struct("text", "predicate", "polarity", "arguments"), order).alias("first"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("entity_ids")))).alias("entity_ids"),
+        J.distinct_provenance(F.flatten(F.collect_list("places"))).alias("provenance"),
         F.sort_array(F.collect_set("doc_idx")).alias("doc_idxs"),
         F.sort_array(F.collect_set("passage_id")).alias("passage_ids"),
         F.sort_array(F.collect_set("capsule_id")).alias("member_ids"),
@@ -70,7 +76,18 @@ def canonical_capsules(capsules: DataFrame, clusters: DataFrame) -> DataFrame:
     )
     # a cluster is named after a capsule number, so the order of numbers needs no window over all clusters
     number = F.substring("cluster", 3, 8).cast("int")
-    return grouped.withColumn("canonical_id", F.format_string("CC_%07d", number))
+    return grouped.select(
+        F.format_string("CC_%07d", number).alias("canonical_id"),
+        "first.*",
+        "entity_ids",
+        "provenance",
+        F.size("provenance").cast("long").alias("num_provenance"),
+        "doc_idxs",
+        "passage_ids",
+        "member_ids",
+        "freq",
+        "cluster",
+    )
 
 
 def centroids(capsules: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -64,12 +64,20 @@ def alias_index(entities_: DataFrame) -> DataFrame:
 
 
 def attach_entities(capsules: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Capsules with ``entity_ids``, sorted; pronouns stand for the entity of the document's title."""
-    rows = capsules.select("capsule_id", "title", F.explode("arguments.surface").alias("surface"))
-    pronoun = F.lower(F.trim("surface")).isin(L.LINKED_PRONOUNS)
-    keyed = rows.select("capsule_id", T.normalize_entity(F.when(pronoun, F.col("title")).otherwise(F.col("surface"))).alias("norm"))
-    ids = keyed.join(aliases, "norm").groupBy("capsule_id").agg(F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
-    return capsules.join(ids, "capsule_id", "left").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
+    """Capsules whose arguments have an ``entity_id`` (null if there is none), with ``entity_ids``, distinct and sorted.
+
+    Pronouns stand for the entity of the document's title.
+    """
+    rows = capsules.select("capsule_id", "title", F.posexplode("arguments").alias("i", "a"))
+    pronoun = F.lower(F.trim("a.surface")).isin(L.LINKED_PRONOUNS)
+    keyed = rows.select("capsule_id", "i", "a", T.normalize_entity(F.when(pronoun, F.col("title")).otherwise(F.col("a.surface"))).alias("norm"))
+    met = keyed.join(aliases, "norm", "left")
+    told = F.array_sort(F.collect_list(F.struct("i", F.col("a.role").alias("role"), F.col("a.surface").alias("surface"), "entity_id")))
+    ids = met.groupBy("capsule_id").agg(told.alias("told"), F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
+    out = capsules.join(ids, "capsule_id", "left")
+    named = F.transform("told", lambda t: F.struct(t["role"].alias("role"), t["surface"].alias("surface"), t["entity_id"].alias("entity_id")))
+    empty = F.array().cast("array<struct<role:string,surface:string,entity_id:string>>")
+    return out.withColumns({"arguments": F.coalesce(named, empty), "entity_ids": F.coalesce("entity_ids", F.array().cast("array<string>"))}).drop("told")
 
 
 def title_idf(titles: DataFrame) -> DataFrame:

@@ -18,18 +18,13 @@ from lattica.functions import text as T
 from lattica.functions.vectors import dot
 from lattica.operators.segmentation import sentence_statements, with_capsule_ids
 from lattica.plans.checkpoints import cut
-from lattica.plans.models import Completer, complete
+from lattica.plans.models import Completer, ask
 
 CAPSULES = "capsules array<struct<predicate:string,polarity:string,arguments:array<struct<role:string,surface:string>>,sent_id:string,canonical_text:string>>"
 #: Phrases of answers that say that there is none.
 NO_ANSWER = ("does not provide", "not mentioned", "cannot determine", "to determine", "the text does not", "the passage does not", "no information")
 
 
-def _ask(df: DataFrame, prompt: Column, completer: Completer, out: str) -> DataFrame:
-    answered, _ = complete(df.withColumn("__prompt", prompt), "__prompt", completer, out)
-    return cut(answered.drop("__prompt"))
-
-
 def question_dags(questions: DataFrame, completer: Completer, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(qid, pos, gid, question, depends_on)`` and edges ``(qid, src, dst)`` of each question's graph.
 
@@ -44,7 +39,7 @@ def question_dags(questions: DataFrame, completer: Completer, config: Config = C
         f" (at most {config.dag_max_nodes} of {{id, question, depends_on, operator}}) and edges ({{source, target}}).\nQuestion: ",
         "Reply with one valid JSON object and nothing else: nodes, a list of {id, question, depends_on, operator}, and edges, a list.\nQuestion: ",
     ):
-        asked = _ask(left, F.concat(F.lit(lead), "question"), completer, "said").withColumn("dag", J.read_dag("said"))
+        asked = ask(left, F.concat(F.lit(lead), "question"), completer, "said").withColumn("dag", J.read_dag("said"))
         some = F.coalesce(F.size("dag.nodes") > 0, F.lit(False))
         got = asked.where(some)
         own = got.select("qid", F.col("question").alias("whole"), F.posexplode(F.slice("dag.nodes", 1, config.dag_max_nodes)).alias("pos", "n"))
@@ -59,7 +54,7 @@ def question_dags(questions: DataFrame, completer: Completer, config: Config = C
         edges = links if edges is None else edges.unionByName(links)
         left = asked.where(~some).select("qid", "question")
     lead = f"Break the question into short standalone sub-questions, one a line, at most {config.dag_max_nodes}, nothing else.\nQuestion: "
-    asked = _ask(left, F.concat(F.lit(lead), "question"), completer, "said")
+    asked = ask(left, F.concat(F.lit(lead), "question"), completer, "said")
     lines = J.question_lines("said", "question", config.dag_max_nodes)
     chain = F.when(F.size(lines) >= 2, lines).otherwise(F.array("question"))
     before = F.when(F.col("pos") > 0, F.array(F.format_string("q%d", "pos"))).otherwise(F.array().cast("array<string>"))
@@ -84,7 +79,7 @@ def model_capsules(passages: DataFrame, completer: Completer, config: Config = C
     base = passages.select("doc_id", "doc_idx", "passage_id", "title", "sent_start", "sentences")
     left, found = base, None
     for lead in (wanted, f"{wanted} Reply with the JSON object only, without any mark around it."):
-        asked = _ask(left, F.concat(F.lit(lead), body), completer, "said").withColumn("c", J._read("said", CAPSULES, "capsules", "capsules")["capsules"])
+        asked = ask(left, F.concat(F.lit(lead), body), completer, "said").withColumn("c", J._read("said", CAPSULES, "capsules", "capsules")["capsules"])
         some = F.coalesce(F.size("c") > 0, F.lit(False))
         got = asked.where(some).withColumn("c", F.explode(F.slice("c", 1, config.max_capsules_per_passage)))
         found = got if found is None else found.unionByName(got)
@@ -117,8 +112,9 @@ def extraction_counts(capsules: DataFrame) -> DataFrame:
 def entailment_edges(canonical: DataFrame, completer: Completer | None = None, config: Config = Config()) -> DataFrame:
     """``(src, dst, type, cost, sim, label, confidence)`` between similar capsules: same text, entailment, contradiction.
 
-    Pairs share an entity, formed at the smallest shared one by the join's own condition, so none is formed twice; the
-    ``nli_max_pairs`` most similar ones are judged (0: all). Equal texts need no model; without a model they are all there is.
+    Pairs share an entity, formed at the smallest shared one by the join's own condition, so none is formed twice. Equal texts
+    need no model and all count; without a model they are all there is. Of the others the ``nli_max_pairs`` most similar ones
+    are judged (a budget of calls; 0: all).
     Answers that cannot be read are neutral, and neutral pairs have no edge.
     """
     e = canonical.where(F.trim("text") != "").select("canonical_id", "text", "entity_ids", "embedding", F.explode("entity_ids").alias("at"))
@@ -127,14 +123,17 @@ def entailment_edges(canonical: DataFrame, completer: Completer | None = None, c
     met = (F.col("a_at") == F.col("b_at")) & (F.col("a_canonical_id") < F.col("b_canonical_id")) & (sim >= config.entails_min_sim)
     met &= F.array_min(F.array_intersect("a_entity_ids", "b_entity_ids")) == F.col("a_at")
     pairs = left.join(right, met).select("a_canonical_id", "b_canonical_id", F.trim("a_text").alias("a"), F.trim("b_text").alias("b"), sim.alias("sim"))
-    if config.nli_max_pairs:
-        pairs = pairs.orderBy(F.desc(F.round("sim", 9)), "a_canonical_id", "b_canonical_id").limit(config.nli_max_pairs)
+    if completer is None:
+        pairs = pairs.where(F.col("a") == F.col("b"))
     pairs = cut(pairs)
     same = pairs.where(F.col("a") == F.col("b")).withColumns({"label": F.lit("equivalent"), "confidence": F.lit(1.0), "cost": F.lit(config.cost_same_text)})
     judged = same
     if completer is not None:
         lead = 'Judge how statement A relates to statement B: equivalent, entails, entailed_by, contradicts or, if unsure, neutral. Reply with JSON: {"label", "confidence"}.\nA: '
-        asked = _ask(pairs.where(F.col("a") != F.col("b")), F.concat(F.lit(lead), "a", F.lit("\nB: "), "b"), completer, "said")
+        open_ = pairs.where(F.col("a") != F.col("b"))
+        if config.nli_max_pairs:
+            open_ = open_.orderBy(F.desc(F.round("sim", 9)), "a_canonical_id", "b_canonical_id").limit(config.nli_max_pairs)
+        asked = ask(open_, F.concat(F.lit(lead), "a", F.lit("\nB: "), "b"), completer, "said")
         told = J._read("said", "label string, confidence double", "label", "label")
         label = F.lower(F.trim(told["label"]))
         asked = asked.withColumns({"label": label, "confidence": F.coalesce(told["confidence"], F.lit(0.0))}).drop("said")
@@ -161,7 +160,7 @@ def reranked(ranked: DataFrame, questions: DataFrame, best: DataFrame, passages:
     lists = shown.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_idx", line.alias("line")))).alias("c")).where(F.size("c") >= 3)
     lead = f'Choose the {config.rerank_select} candidates that together best answer the question. Reply with JSON: {{"selected": [numbers]}}.\nQuestion: '
     prompt = F.concat(F.lit(lead), "question", F.lit("\nCandidates:\n"), F.array_join(F.transform("c", lambda x: x["line"]), "\n"))
-    asked = _ask(lists.join(questions.select("qid", "question"), "qid"), prompt, completer, "said")
+    asked = ask(lists.join(questions.select("qid", "question"), "qid"), prompt, completer, "said")
     picks = F.filter(F.array_distinct(J.read_selected("said")), lambda i: (i >= 0) & (i < F.size("c")))
     asked = asked.withColumn("picks", picks).where(F.size("picks") > 0)
     whole = F.array_union("picks", F.sequence(F.lit(0), F.size("c") - 1))
@@ -189,9 +188,9 @@ def answers(questions: DataFrame, evidence: DataFrame, passages: DataFrame, comp
     bare = F.array_join(F.transform("p", lambda x: x["text"]), " ")
     rows = questions.select("qid", F.coalesce("question", F.lit("")).alias("question")).join(folded, "qid", "left")
     rows = rows.select("qid", "question", F.coalesce(shown, F.lit("")).alias("shown"), F.coalesce(bare, F.lit("")).alias("bare"))
-    ask = lambda lead: F.concat(F.lit(f"{lead}\nQuestion: "), "question", F.lit("\nEvidence:\n"), "shown")
+    posed = lambda lead: F.concat(F.lit(f"{lead}\nQuestion: "), "question", F.lit("\nEvidence:\n"), "shown")
     lead = 'Answer from the evidence. Think first, then end with "Answer: " and the shortest answer: yes or no, a date as D Month YYYY, or a name.'
-    said = _ask(rows, ask(lead), completer, "raw")
+    said = ask(rows, posed(lead), completer, "raw")
 
     q = F.lower(F.trim("question"))
     given = said.withColumns({"a": A.postprocess_answer("raw", "question"), "x": A.extract_span("question", "bare")})
@@ -206,15 +205,21 @@ def answers(questions: DataFrame, evidence: DataFrame, passages: DataFrame, comp
     given = cut(given.select("qid", "question", "shown", "raw", "a", "o", F.when(none, "option").when(closed, "closed").alias("again")))
 
     options = F.concat(F.lit("\nOptions: "), F.col("o")[0], F.lit(" | "), F.col("o")[1])
-    chosen = _ask(given.where("again = 'option'"), F.concat(ask("Reply with exactly one of the options."), options), completer, "said")
+    chosen = ask(given.where("again = 'option'"), F.concat(posed("Reply with exactly one of the options."), options), completer, "said")
     first, second = (A._overlap(A.postprocess_answer("said", "question"), F.col("o")[i]) for i in (0, 1))
     chosen = chosen.withColumn("a", F.when(F.trim(F.coalesce("said", F.lit(""))) == "", F.col("a")).when(first >= second, F.col("o")[0]).otherwise(F.col("o")[1]))
-    forced = _ask(given.where("again = 'closed'"), ask("Reply with yes or no."), completer, "said")
+    forced = ask(given.where("again = 'closed'"), posed("Reply with yes or no."), completer, "said")
     forced = forced.withColumn("a", F.coalesce(F.nullif(A.postprocess_answer("said", "question"), F.lit("")), "a"))
     cols = ["qid", F.col("a").alias("prediction"), "raw"]
     return given.where("again IS NULL").select(*cols).unionByName(chosen.select(*cols)).unionByName(forced.select(*cols))
 
 
+def similar_neighbours(adjacency: DataFrame, most: int) -> DataFrame:
+    """``(src, dst)``: of each node's neighbours by similarity the ``most`` cheapest, the smaller node on ties."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("cost", "dst"))
+    return adjacency.where(F.col("type") == "sim").withColumn("r", place).where(F.col("r") <= most).select("src", "dst")
+
+
 def connected(chosen: DataFrame, parents: DataFrame, candidates: DataFrame, shown: DataFrame, adjacency: DataFrame, config: Config = Config()) -> DataFrame:
     """``(qid, source, target, cost, path)``: cheapest ways between the capsules assigned to groups that depend on each other.
 
@@ -230,7 +235,11 @@ def connected(chosen: DataFrame, parents: DataFrame, candidates: DataFrame, show
     near = candidates.where(F.col("rank") <= most).select("qid", "canonical_id", "rank").join(shown, "canonical_id")
     part = lambda kind, c: F.transform(F.col(c), lambda x: F.concat(F.lit(f"{kind}:"), x.cast("string")))
     around = F.concat(F.array(F.concat(F.lit("C:"), "canonical_id")), part("E", "entity_ids"), part("P", "passage_ids"), part("D", "doc_idxs"))
-    nodes = near.select("qid", F.explode(around).alias("node"), "rank").groupBy("qid", "node").agg(F.min("rank").alias("rank"))
+    nodes = near.select("qid", F.explode(around).alias("node"), "rank")
+    if config.neighbor_expand_sim_top_m:
+        beside = similar_neighbours(adjacency, config.neighbor_expand_sim_top_m)
+        nodes = nodes.unionByName(near.select("qid", F.concat(F.lit("C:"), "canonical_id").alias("src"), "rank").join(beside, "src").select("qid", F.col("dst").alias("node"), "rank"))
+    nodes = nodes.groupBy("qid", "node").agg(F.min("rank").alias("rank"))
     size = nodes.groupBy("qid").agg(F.count("*").alias("n"))
     order = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "node"))
     nodes = nodes.join(size, "qid").withColumn("r", order).where((F.col("n") <= config.induced_max_nodes) | (F.col("r") <= config.induced_max_nodes)).select("qid", "node")

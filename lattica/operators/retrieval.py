@@ -16,15 +16,25 @@ from lattica.functions import text as T
 from lattica.functions.vectors import dot
 
 
+def _best(who: np.ndarray, item: np.ndarray, sim: np.ndarray, owner: np.ndarray | None, k: int) -> np.ndarray:
+    """Places of each query's ``k`` best items, or of the ``k`` best owners' best items; ties to the smaller one."""
+    turn = np.lexsort((np.unique(item, return_inverse=True)[1], -sim, who))
+    if owner is not None:
+        turn = turn[np.sort(np.unique(np.stack([who[turn], owner[turn]]), axis=1, return_index=True)[1])]
+        turn = turn[np.lexsort((owner[turn], -sim[turn], who[turn]))]
+    starts = np.flatnonzero(np.diff(who[turn], prepend=-1))
+    place = np.arange(len(turn)) - np.repeat(starts, np.diff(np.append(starts, len(turn))))
+    return turn[place < k]
+
+
 def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: int, config: Config = Config(), vector: str = "embedding", owner: str | None = None) -> DataFrame:
     """``(query, item, sim, rank)``: the ``k`` items with the greatest inner product for each query, ties by item.
 
     With ``owner`` (an integer column of the items), ``(query, owner, item, sim, rank)``: the ``k`` owners whose best item
-    has the greatest product, ties by owner, each with that item. A batch keeps its ``k`` best owners; one that is among
-    the ``k`` best of all is so in the batch of its best item.
+    has the greatest product, ties by owner, each with that item.
 
-    Items are never moved: every Arrow batch is multiplied with the queries' matrix and keeps its own best ``k``, and only
-    those are ranked. The matrix is sent to the executors in blocks of a checked size, one pass for each.
+    Items are never moved: every Arrow batch is multiplied with the queries' matrix, each task keeps its running ``k`` best
+    of a query, and only those are ranked. The matrix is sent to the executors in blocks of a checked size, one pass for each.
     """
     rows = queries.select(query, vector).orderBy(query).toLocalIterator()
     schema = f"{query} {dict(queries.dtypes)[query]}, {item} {dict(items.dtypes)[item]}, sim double" + (f", {owner} {dict(items.dtypes)[owner]}" if owner else "")
@@ -37,39 +47,34 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            held: list[tuple] = []
+
+            def fold() -> None:
+                who, what, sim, own = (None if held[0][i] is None else np.concatenate([h[i] for h in held]) for i in range(4))
+                top = _best(who, what, sim, own, k)
+                held[:] = [(who[top], what[top], sim[top], None if own is None else own[top])]
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                order = np.argsort(np.asarray(batch.column(0).to_pylist()), kind="stable")
-                sim = (x @ q.T)[order]
-                top = np.argsort(-sim, axis=0, kind="stable")[:k]
-                who, which = np.repeat(np.arange(len(ids)), len(top)), order[top.T.ravel()]
-                out = [pa.array([ids[i] for i in who.tolist()]), batch.column(0).take(pa.array(which)), pa.array(sim[top.T.ravel(), who])]
-                yield pa.RecordBatch.from_arrays(out, names=[query, item, "sim"])
-
-        def best_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                order = np.lexsort((np.asarray(batch.column(0).to_pylist()), np.asarray(batch.column(2))))
-                starts = np.flatnonzero(np.diff(np.asarray(batch.column(2))[order], prepend=-1))
-                starts = np.union1d([0], starts).astype(np.int64)
-                ends = [*starts[1:].tolist(), batch.num_rows]
-                sim = np.round((x @ q.T)[order], 9)
-                at = np.stack([a + sim[a:b].argmax(axis=0) for a, b in zip(starts.tolist(), ends, strict=True)])
-                most = np.take_along_axis(sim, at, axis=0)
-                top = np.argsort(-most, axis=0, kind="stable")[:k]
-                who = np.repeat(np.arange(len(ids)), len(top))
-                which = pa.array(order[at[top.T.ravel(), who]])
-                out = [pa.array([ids[i] for i in who.tolist()]), batch.column(0).take(which), pa.array(most[top.T.ravel(), who]), batch.column(2).take(which)]
-                yield pa.RecordBatch.from_arrays(out, names=[query, item, "sim", owner])
-
-        if owner:
-            return items.select(item, vector, owner).mapInArrow(best_owners, schema)
-        return items.select(item, vector).mapInArrow(best, schema)
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                    sim = np.round(x @ q.T, 9)
+                    # what is below a query's k-th best of this part cannot be among its best, except for owners
+                    least = -np.inf if owner or len(sim) <= k else np.partition(sim, -k, axis=0)[-k]
+                    rows, who = np.nonzero(sim >= least)
+                    names = np.asarray(part.column(0).to_pylist())
+                    own = np.asarray(part.column(2))[rows] if owner else None
+                    top = _best(who, names[rows], sim[rows, who], own, k)
+                    held.append((who[top], names[rows][top], sim[rows, who][top], own[top] if owner else None))
+                    if sum(len(h[0]) for h in held) > 2 * k * len(ids) + (1 << 16):
+                        fold()
+            if held:
+                fold()
+                who, what, sim, own = held[0]
+                out = [pa.array([ids[i] for i in who.tolist()]), pa.array(what.tolist()), pa.array(sim)]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(own)] if owner else []), names=[query, item, "sim"] + ([owner] if owner else []))
+
+        return items.select(item, vector, *([owner] if owner else [])).mapInArrow(best, schema)
 
     for r in rows:
         block.append(r)
@@ -78,13 +83,12 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
     if block or kept is None:
         last = scan(block) if block else items.sparkSession.createDataFrame([], schema)
         kept = last if kept is None else kept.unionByName(last)
-    rounded = kept.withColumn("sim", F.round("sim", 9))
     if owner:
         first = F.row_number().over(Window.partitionBy(query, owner).orderBy(F.desc("sim"), item))
-        rounded = rounded.withColumn("rank", first).where("rank = 1")
+        kept = kept.withColumn("rank", first).where("rank = 1")
         item = owner
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("sim"), item))
-    return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def sim_edges(canonical: DataFrame, config: Config = Config()) -> DataFrame:
@@ -326,6 +330,38 @@ def pack_evidence(pool: DataFrame, hits: DataFrame, weights: DataFrame, seeds: D
     return rows.groupBy("qid").applyInPandas(run, "qid long, passage_id string, position int, token_count int")
 
 
+def pack_in_order(ranked: DataFrame, config: Config = Config()) -> DataFrame:
+    """``(qid, passage_id, position, token_count)``: passages in their order ``rank``, those that still fit the budget.
+
+    What does not fit is passed over and smaller ones after it may be taken, so this is one small sequential task a question;
+    ``max_passages`` times 50 candidates are looked at. ``ranked`` has ``(qid, passage_id, rank, tokens)``, repeats count once.
+    """
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "passage_id"))
+    once = ranked.groupBy("qid", "passage_id").agg(F.min("rank").alias("rank"), F.first("tokens").alias("tokens"))
+    some = once.withColumn("place", place).where(F.col("place") <= 50 * config.max_passages)
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out, spent = [], 0
+        for r in frame.sort_values("place").itertuples():
+            if len(out) < config.max_passages and spent + int(r.tokens) <= config.token_budget:
+                out.append((key[0], r.passage_id, len(out), int(r.tokens)))
+                spent += int(r.tokens)
+        return pd.DataFrame(out, columns=["qid", "passage_id", "position", "token_count"])
+
+    return some.groupBy("qid").applyInPandas(run, "qid long, passage_id string, position int, token_count int")
+
+
+def with_fallback(evidence: DataFrame, ranked: DataFrame, best: DataFrame, dense: DataFrame, passages: DataFrame, config: Config = Config()) -> DataFrame:
+    """Evidence, and for questions without any the best passage of each document in order, then the nearest passages."""
+    sized = passages.select("passage_id", F.col("token_count").alias("tokens"))
+    left = ranked.select("qid").union(dense.select("qid")).distinct().join(evidence.select("qid"), "qid", "left_anti")
+    by_doc = ranked.join(left, "qid", "left_semi").join(best.select("qid", "doc_idx", "passage_id"), ["qid", "doc_idx"]).join(sized, "passage_id")
+    first = pack_in_order(by_doc.select("qid", "passage_id", F.col("rank").cast("double").alias("rank"), "tokens"), config)
+    left = left.join(first.select("qid"), "qid", "left_anti")
+    nearest = dense.join(left, "qid", "left_semi").join(sized, "passage_id").select("qid", "passage_id", (-F.col("dense")).alias("rank"), "tokens")
+    return evidence.unionByName(first).unionByName(pack_in_order(nearest, config))
+
+
 def coverage(evidence: DataFrame, top: DataFrame) -> DataFrame:
     """``(qid, coverage)``: share of groups of which one of the first capsules ``(qid, gid, passage_id)`` is in evidence."""
     groups = top.select("qid", "gid").distinct()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,59 +30,81 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_idx", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
 
 
-def passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
+SPANS = "array<struct<start:int,stop:int,tokens:long,char:int>>"
+
+
+def spans_of(counts: list[int], lengths: list[int], budget: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """``(start, stop, tokens, char)`` of the windows over sentences with so many words and characters, in linear time.
+
+    From sentence ``start`` a window reaches the last one within the budget, or is one sentence; the next starts as late as
+    leaves the overlap, but moves on. ``char`` is where the window begins in the sentences joined by one space.
+    """
+    words, chars = [0], [0]
+    for n, c in zip(counts, lengths, strict=True):
+        words.append(words[-1] + n)
+        chars.append(chars[-1] + c + 1)
+    out, start, stop, back, m = [], 0, 0, 0, len(counts)
+    while start < m:
+        stop = max(stop, start + 1)
+        while stop < m and words[stop + 1] - words[start] <= budget:
+            stop += 1
+        out.append((start, stop, words[stop] - words[start], chars[start]))
+        if stop >= m:
+            break
+        while back + 1 <= m and words[back + 1] <= words[stop] - overlap:
+            back += 1
+        start = max(start + 1, back)
+    return out
+
+
+def passages(docs: DataFrame, config: Config = Config(), counts: Callable[[Column], Column] | None = None) -> DataFrame:
     """Windows of whole sentences within a budget of words, each starting so that it overlaps the one before.
 
-    The greedy choice is a pure function of the prefix sums of words: from sentence ``i`` a passage reaches the last
-    sentence within the budget, and the next starts as late as leaves the overlap. Both are running maxima over RANGE
-    frames, and the chain of starts is a fold over a document's arrays. A sentence longer than the budget is a passage of
-    its own; documents without a sentence have none.
+    Every document is a row of its own, so nothing is shuffled: Arrow batches of word counts and lengths give the spans, and
+    texts are cut by them inside the JVM. A sentence longer than the budget is a passage of its own; documents without
+    a sentence have none. ``counts`` turns an array of sentences into their tokens (default: words).
     """
     arrays = docs.select("doc_idx", "doc_id", "title", T.sentences("text").alias("sentences")).where(F.size("sentences") > 0)
-    words = F.transform("sentences", lambda s: T.word_count(s))
-    rows = arrays.select("doc_idx", F.posexplode(F.concat(words, F.array(F.lit(0)))).alias("i", "n"))
-    whole = Window.partitionBy("doc_idx").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("s", F.coalesce(F.sum("n").over(whole), F.lit(0)).cast("long"))
-    by_sum = Window.partitionBy("doc_idx").orderBy("s")
-    reach = summed.withColumn("end", F.greatest(F.col("i") + 1, F.max("i").over(by_sum.rangeBetween(0, config.chunk_tokens))))
-    reach = reach.withColumn("back", F.coalesce(F.max("i").over(by_sum.rangeBetween(Window.unboundedPreceding, -config.chunk_overlap)), F.lit(0)))
-    chains = reach.groupBy("doc_idx").agg(F.sort_array(F.collect_list(F.struct("i", "end", "back", "s"))).alias("at"))
-    last = F.size("at") - 1
-    start = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("starts"))
-
-    def move(acc, _):
-        end = F.col("at")[acc["cur"]]["end"]
-        following = F.greatest(acc["cur"] + 1, F.col("at")[F.least(end, last)]["back"])
-        going = acc["cur"] < last
-        return F.struct(
-            F.when(~going | (end >= last), last).otherwise(following).cast("int").alias("cur"),
-            F.when(going, F.concat(acc["starts"], F.array(acc["cur"]))).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    starts = F.aggregate(F.sequence(F.lit(1), last), start, move)["starts"]
-    cut = chains.select("doc_idx", "at", F.posexplode(starts).alias("chunk_idx", "sent_start"))
-    cut = cut.withColumn("stop", F.least(F.col("at")[F.col("sent_start")]["end"], F.size("at") - 1))
-    spans = cut.select("doc_idx", "chunk_idx", "sent_start", (F.col("stop") - 1).alias("sent_end"), (F.col("at")[F.col("stop")]["s"] - F.col("at")[F.col("sent_start")]["s"]).alias("token_count"))
-    own = spans.join(arrays, "doc_idx")
-    part = F.slice("sentences", F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start") + 1)
-    before = F.aggregate(F.slice("sentences", F.lit(1), F.col("sent_start")), F.lit(0), lambda n, s: n + F.length(s) + 1)
+    budget, overlap = config.chunk_tokens, config.chunk_overlap
+
+    @F.pandas_udf(SPANS)
+    def spans(n: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([spans_of(x.tolist(), y.tolist(), budget, overlap) for x, y in zip(n, c, strict=True)])
+
+    words = counts(F.col("sentences")) if counts else F.transform("sentences", lambda s: T.word_count(s))
+    lengths = F.transform("sentences", lambda s: F.length(s))
+    whole = arrays.withColumn("spans", spans(words, lengths))
+    window = F.transform("spans", lambda p: F.struct(p.alias("p"), F.slice("sentences", p["start"] + 1, p["stop"] - p["start"]).alias("part")))
+    own = whole.select("doc_idx", "doc_id", "title", F.posexplode(window).alias("chunk_idx", "w"))
+    own = own.select("doc_idx", "doc_id", "title", "chunk_idx", "w.p", F.col("w.part").alias("sentences"), F.array_join("w.part", " ").alias("text"))
     return own.select(
         F.format_string("P_%07d_%03d", "doc_idx", "chunk_idx").alias("passage_id"),
         "doc_id",
         "doc_idx",
         "chunk_idx",
         "title",
-        F.array_join(part, " ").alias("text"),
-        part.alias("sentences"),
-        before.alias("start_char"),
-        (before + F.length(F.array_join(part, " "))).alias("end_char"),
-        "sent_start",
-        "sent_end",
-        F.size(part).alias("num_sents"),
-        "token_count",
+        "text",
+        "sentences",
+        F.col("p.char").alias("start_char"),
+        (F.col("p.char") + F.length("text")).alias("end_char"),
+        F.col("p.start").alias("sent_start"),
+        (F.col("p.stop") - 1).alias("sent_end"),
+        F.size("sentences").alias("num_sents"),
+        F.col("p.tokens").alias("token_count"),
     )
 
 
+def sentence_spans(passages_: DataFrame) -> DataFrame:
+    """``(passage_id, sent_id, start, stop)``: where each sentence of a passage stands in its text."""
+    step = F.aggregate(
+        "sentences",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("stop")))).alias("out")),
+    )["out"]
+    rows = passages_.select("passage_id", F.posexplode(step).alias("sent_id", "s"))
+    return rows.select("passage_id", "sent_id", "s.start", "s.stop")
+
+
 def sentence_capsules(passages_: DataFrame, config: Config = Config(), mentions: bool = True) -> DataFrame:
     """Atomic statements: the first sentences of each passage, with the entities that they mention as arguments.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import logging
+import time
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +14,14 @@ from pyspark.sql.window import Window
 from lattica.config import RECALL_AT, Config
 from lattica.functions import text as T
 from lattica.functions.metrics import exact_match, recall_at, token_f1
-from lattica.functions.vectors import embed
 from lattica.operators import capsules as C
 from lattica.operators import dag, entities, graph, modelled, retrieval, segmentation
 from lattica.plans.checkpoints import cut
-from lattica.plans.models import Completer
+from lattica.plans.models import Cached, Completer, encode
 from lattica.sources.readers import load_tables, write_tables
 
+log = logging.getLogger("lattica")
+
 
 @dataclass
 class Engine:
@@ -29,29 +33,41 @@ class Engine:
 
     config: Config = field(default_factory=Config)
     tables: dict[str, DataFrame] = field(default_factory=dict)
-    completer: Completer | None = None
+    completer: Completer | Cached | None = None
+    stages: dict[str, float] = field(default_factory=dict)
+
+    def _made(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, materialised; the seconds that it took are kept under the stage's name."""
+        began = time.monotonic()
+        done = cut(df)
+        self.stages[name] = round(time.monotonic() - began, 3)
+        log.info("%s: %.1f s", name, self.stages[name])
+        return done
+
+    def _vectors(self, df: DataFrame, key: str, text: str, instruction: str = "") -> DataFrame:
+        return encode(df, key, text, self.config.embedder, self.config.dim, instruction)
 
     def index(self, corpus: DataFrame, mentions: bool = True) -> Engine:
         """``corpus`` as made by ``segmentation.corpus``. Tables that several later stages read are materialised once."""
         c = self.config
-        passages = cut(segmentation.passages(corpus, c))
+        passages = self._made("passages", segmentation.passages(corpus, c))
         if self.completer is not None:
-            capsules = cut(modelled.model_capsules(passages, self.completer, c))
+            capsules = self._made("capsules", modelled.model_capsules(passages, self.completer, c))
         else:
-            capsules = cut(segmentation.sentence_capsules(passages, c, mentions))
+            capsules = self._made("capsules", segmentation.sentence_capsules(passages, c, mentions))
         surfaces = entities.surface_counts(capsules, corpus.select("title"), c)
-        ents = cut(entities.entities(entities.entity_clusters(surfaces, c)))
+        ents = self._made("entities", entities.entities(entities.entity_clusters(surfaces, c)))
         attached = entities.attach_entities(capsules, entities.alias_index(ents))
-        capsules = cut(attached.join(embed(capsules, "capsule_id", "text", c.dim), "capsule_id"))
-        clusters = cut(C.capsule_clusters(capsules, c))
+        capsules = self._made("capsule vectors", attached.join(self._vectors(capsules, "capsule_id", "text"), "capsule_id"))
+        clusters = self._made("clusters", C.capsule_clusters(capsules, c))
         canonical = C.canonical_capsules(capsules, clusters)
-        canonical = cut(canonical.join(C.centroids(capsules, clusters), "cluster").drop("cluster"))
+        canonical = self._made("canonical", canonical.join(C.centroids(capsules, clusters), "cluster").drop("cluster"))
         edges = graph.evidence_edges(passages, canonical, retrieval.sim_edges(canonical, c), c)
         entailed = modelled.entailment_edges(canonical, self.completer, c)
-        edges = cut(edges.unionByName(entailed.select("src", "dst", "type", "cost")))
+        edges = self._made("edges", edges.unionByName(entailed.select("src", "dst", "type", "cost")))
         self.tables = {
             "docs": corpus,
-            "passages": passages.join(embed(passages, "passage_id", "text", c.dim), "passage_id"),
+            "passages": passages.join(self._vectors(passages, "passage_id", "text"), "passage_id"),
             "capsules": capsules,
             "entities": ents.drop("cluster"),
             "canonical": canonical,
@@ -62,7 +78,7 @@ class Engine:
         return self
 
     def save(self, folder: str) -> None:
-        write_tables(self.tables, folder)
+        write_tables(self.tables, folder, json.dumps(asdict(self.config), sort_keys=True), json.dumps(self.stages))
 
     def load(self, spark, folder: str) -> Engine:
         self.tables = load_tables(spark, folder)
@@ -85,7 +101,7 @@ class Engine:
         order = dag.topo_levels(nodes, above)
         node = F.concat_ws("|", F.col("qid").cast("string"), "gid")
         asked = nodes.select(node.alias("node"), "question")
-        vectors = cut(embed(asked, "node", "question", c.dim))
+        vectors = cut(self._vectors(asked, "node", "question", c.query_instruction))
         parts = F.split("node", r"\|")
         split = lambda df: df.withColumns({"qid": parts[0].cast("long"), "gid": parts[1]}).drop("node")
 
@@ -149,15 +165,17 @@ class Engine:
         hits = held.join(cands.select("qid", "gid", "canonical_id", "prize"), ["qid", "gid", "canonical_id"]).groupBy("qid", "gid", "passage_id").agg(F.max("prize").alias("hit"))
         weights = dag.leaves(nodes, above).select("qid", "gid", F.lit(c.leaf_weight).alias("weight"))
         first = ranked.where(F.col("rank") <= 2).join(by_question.select("qid", "doc_idx", "passage_id"), ["qid", "doc_idx"]).select("qid", "passage_id", F.col("rank").alias("pos"))
-        evidence = cut(retrieval.pack_evidence(pool, hits, weights, first, c))
+        packed = cut(retrieval.pack_evidence(pool, hits, weights, first, c))
+        evidence = cut(retrieval.with_fallback(packed, ranked, by_question, dense, passages, c))
         top = cands.where(F.col("rank") <= 5).join(shown.select("canonical_id", F.col("passage_ids").alias("ps")), "canonical_id").select("qid", "gid", F.explode("ps").alias("passage_id"))
         return {"documents": documents, "evidence": evidence, "assignment": chosen, "coverage": retrieval.coverage(evidence, top), "paths": paths}
 
     def rag_qa(self, questions: DataFrame, golds: DataFrame | None = None) -> dict[str, DataFrame]:
         """What ``retrieve`` gives, ``answers`` (``qid, prediction, raw``), and with ``golds`` (``qid, golds array<string>``)
-        ``metrics``: exact match, F1, mean coverage and mean evidence tokens. Needs a completer."""
+        ``metrics``: exact match, F1, mean coverage, mean evidence tokens and seconds a question. Needs a completer."""
         if self.completer is None:
             raise ValueError("answers need a completer")
+        began, asked = time.monotonic(), questions.count()
         got = self.retrieve(questions)
         answers = cut(modelled.answers(questions, got["evidence"], self.tables["passages"], self.completer))
         got["answers"] = answers
@@ -169,6 +187,7 @@ class Engine:
                 F.avg(token_f1(F.coalesce("prediction", F.lit("")), "golds")).alias("f1"),
                 F.avg(F.coalesce("coverage", F.lit(0.0))).alias("coverage"),
                 F.avg(F.coalesce("tokens", F.lit(0))).cast("int").alias("evidence_tokens"),
+                F.lit(round((time.monotonic() - began) / max(1, asked), 4)).alias("latency_avg_s"),
             )
         return got
 
@@ -178,7 +197,3 @@ class Engine:
         wanted = gold.groupBy("qid").agg(F.collect_set("doc_idx").alias("gold"))
         met = wanted.join(lists, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast("array<bigint>")))
         return met.agg(*[F.round(F.avg(recall_at("got", "gold", k)), 4).alias(f"recall_{k}") for k in RECALL_AT])
-
-    @staticmethod
-    def answer_metrics(answers: DataFrame, prediction: str = "prediction", golds: str = "golds") -> DataFrame:
-        return answers.agg(F.avg(exact_match(prediction, golds)).alias("em"), F.avg(token_f1(prediction, golds)).alias("f1"))

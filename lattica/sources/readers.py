@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,28 +83,50 @@ def cap_samples(samples: DataFrame, most: int, offset: int = 0, seed: int | None
     return samples.orderBy(*order).offset(offset).limit(most)
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Index tables as Parquet, the marker table last, so that a reader sees a finished index or none."""
+META = "name string, rows long, columns string, config string, stages string"
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, config: str = "", stages: str = "") -> None:
+    """Index tables as Parquet, the marker table last, so that a reader sees a finished index or none.
+
+    Edges are written in the order of ``(src, dst, type)``. The marker tells each table's rows and columns, the settings and the
+    seconds of the stages.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        keys = [c for c in ("src", "dst", "type") if c in df.columns]
+        (df.orderBy(*keys) if name == "edges" else df).write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(name,) for name in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/_meta")
+    meta = [(name, spark.read.parquet(f"{folder}/{name}").count(), ",".join(df.columns), config, stages) for name, df in tables.items()]
+    spark.createDataFrame(meta, META).coalesce(1).write.mode("overwrite").json(f"{folder}/_meta")
+
+
+def index_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, rows, columns, config, stages)`` of a finished index."""
+    return spark.read.schema(META).json(f"{folder}/_meta")
+
+
+def adjacency_lists(edges: DataFrame) -> DataFrame:
+    """``(node, neighbours)``: both ends of every edge, neighbours in the order of ``(node, type, cost)``."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "type", "cost").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), "type", "cost"))
+    return both.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("to", "type", "cost"))).alias("neighbours"))
 
 
 def index_ready(spark: SparkSession, folder: str) -> bool:
-    """Whether a finished index is there, by what Spark's own readers find."""
+    """Whether a finished index is there with all its tables, by what Spark's own readers find."""
     try:
-        return bool(spark.read.schema("name string").json(f"{folder}/_meta").take(1))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
+        names = [r["name"] for r in index_meta(spark, folder).select("name").collect()]
+        for name in names:
+            spark.read.parquet(f"{folder}/{name}").schema  # noqa: B018
+        return bool(names)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return False
         raise
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a finished index, lazily."""
-    names = [r["name"] for r in spark.read.schema("name string").json(f"{folder}/_meta").collect()]
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    return {r["name"]: spark.read.parquet(f"{folder}/{r['name']}") for r in index_meta(spark, folder).select("name").collect()}
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -97,6 +97,8 @@ def test_canonical_capsules(spark):
         ("C_00000005", "a b", "q", "+", ["E1"], [0.9, 0.436], 5, "P5"),
     ]
     caps = spark.createDataFrame(rows, "capsule_id string, text string, predicate string, polarity string, entity_ids array<string>, embedding array<double>, doc_idx long, passage_id string")
+    place = "named_struct('doc_id', concat('D_', doc_idx), 'doc_idx', doc_idx, 'passage_id', passage_id, 'sent_id', 0, 'quote', text) AS provenance"
+    caps = caps.selectExpr("*", place, "transform(entity_ids, e -> named_struct('role', 'mention', 'surface', e, 'entity_id', e)) AS arguments")
     clusters = capsules.capsule_clusters(caps)
     got = {r["capsule_id"]: r["cluster"] for r in clusters.collect()}
     assert [got[f"C_0000000{i}"][-1] for i in range(6)] == ["0", "0", "0", "3", "4", "0"]  # 5 joins 2 at above 0.93
