@@ -13,8 +13,7 @@ from lattica.functions import answers as A
 from lattica.functions import json_text as J
 from lattica.functions import metrics as M
 from lattica.functions import text as T
-from lattica.functions.vectors import dot, embed, tokens
-from lattica.operators import capsules as C
+from lattica.functions.vectors import embed
 from lattica.operators import dag, entities, graph, modelled, retrieval, segmentation
 from lattica.operators.components import connected_components
 from lattica.plans import models
@@ -331,31 +330,17 @@ def node_degrees(spark, d):
     return _tree(spark, d)[1].groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-@query(f"WITH RECURSIVE {PASSAGES} SELECT 'P:' || passage_id AS src, 'D:' || doc_idx AS dst, 'in_doc' AS type, 0.05::DOUBLE AS cost FROM pass")
-def evidence_edges(spark, d):
-    p = segmentation.passages(_corpus(spark, d))
-    none = p.select(F.lit("").alias("canonical_id"), F.array().cast("array<string>").alias("passage_ids"), F.array().cast("array<string>").alias("entity_ids")).limit(0)
-    return graph.evidence_edges(p, none)
-
-
-@query(f"WITH RECURSIVE {PASSAGES} SELECT doc_idx, string_agg(passage_id, ',' ORDER BY passage_id) AS passage_ids FROM pass GROUP BY doc_idx")
-def struct_index_doc_to_passages(spark, d):
-    p = segmentation.passages(_corpus(spark, d))
-    return p.groupBy("doc_idx").agg(F.array_join(F.sort_array(F.collect_set("passage_id")), ",").alias("passage_ids"))
-
-
 @query(
-    """WITH RECURSIVE k AS (SELECT o_custkey AS a, 'P' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50),
-    m AS (SELECT b, min(a) AS low FROM k GROUP BY b), e AS (SELECT DISTINCT a AS x, low AS y FROM k JOIN m USING (b) WHERE a <> low),
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), e AS (SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a, n JOIN customer b ON b.c_custkey = (a.c_custkey * 7 + 3) % n.n AND a.c_mktsegment <= b.c_mktsegment WHERE a.c_custkey <> b.c_custkey),
     s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, x AS lab FROM s UNION SELECT s.y, r.lab FROM r JOIN s ON s.x = r.node AND r.lab < s.y)
     SELECT node, min(lab) AS component FROM r GROUP BY node"""
 )
 def components(spark, d):
-    """Customers that are connected by parts of which they have ordered the greatest quantity."""
-    big = read(spark, d, "lineitem").where(F.col("l_quantity") >= 50).select("l_orderkey", "l_partkey")
-    k = read(spark, d, "orders").join(big, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
-    low = k.groupBy("l_partkey").agg(F.min("o_custkey").alias("low"))
-    return connected_components(k.join(low, "l_partkey").select(F.col("o_custkey").alias("src"), F.col("low").alias("dst")))
+    """All customers, each tied to one other unless its market segment sorts after that one's; chains of any length and cycles."""
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    other = c.select(F.col("c_custkey").alias("dst"), F.col("c_mktsegment").alias("segment"))
+    tied = c.withColumn("dst", (F.col("c_custkey") * 7 + 3) % c.count()).join(other, "dst").where(F.col("c_mktsegment") <= F.col("segment"))
+    return connected_components(tied.select(F.col("c_custkey").alias("src"), "dst"))
 
 
 @query(
@@ -511,29 +496,6 @@ def answers_by_model(spark, d):
     return found.select("qid", "prediction")
 
 
-def _capsules(spark, d):
-    corpus = _corpus(spark, d)
-    p = cut(segmentation.passages(corpus))
-    caps = cut(segmentation.sentence_capsules(p))
-    surfaces = entities.surface_counts(caps, corpus.select("title"))
-    ents = cut(entities.entities(entities.entity_clusters(surfaces)))
-    caps = entities.attach_entities(caps, entities.alias_index(ents))
-    return p, ents, cut(caps.join(embed(caps, "capsule_id", "text"), "capsule_id"))
-
-
-@query()
-def entity_table(spark, d):
-    _, ents, _ = _capsules(spark, d)
-    return ents.select("entity_id", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "freq")
-
-
-@query()
-def canonical_capsules(spark, d):
-    _, _, caps = _capsules(spark, d)
-    made = C.canonical_capsules(caps, cut(C.capsule_clusters(caps)))
-    return made.select("canonical_id", "text", F.array_join("entity_ids", ",").alias("entity_ids"), F.array_join("member_ids", ",").alias("member_ids"), "freq")
-
-
 @query()
 def retrieve_documents(spark, d):
     """Documents for every benchmark question, by all signals."""
