@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import _col
 
+WORD = re.compile("[a-z0-9]+")
+#: Words whose buckets a task remembers.
+WORDS = 1 << 18
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -18,23 +29,29 @@ def l2_normalize(v: Column | str) -> Column:
     return F.transform(whole, lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(F.sqrt(s["n"]))))[0]
 
 
-def bucket(token: Column | str, dim: int = 64) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(_col(token)), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-
-
-def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """``(key, embedding)``: unit vectors of word counts in ``dim`` hash buckets; texts without a word have zeros.
 
-    Counting is one shuffle on key and bucket with partial sums, so a long text is many small rows, not one task.
+    Words are counted in Arrow batches, text by text, so nothing is shuffled; a task remembers the buckets of the words that it has
+    met, a bounded number of them.
     """
-    words = df.select(key, F.explode_outer(tokens(text)).alias("token"))
-    counts = words.groupBy(key, bucket("token", dim).alias("b")).agg(F.count("token").cast("double").alias("n"))
-    entry = F.when(F.col("b").isNotNull(), F.struct("b", "n"))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    norm = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / norm)
-    return maps.select(key, dense.alias("embedding"))
+    rows = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for batch in batches:
+            made = np.zeros((batch.num_rows, dim))
+            for i, t in enumerate(batch.column(1)):
+                for word, n in Counter(WORD.findall(t.as_py())).items():
+                    at = place.get(word)
+                    if at is None:
+                        if len(place) >= WORDS:
+                            place.clear()
+                        at = place[word] = int(md5(word.encode()).hexdigest()[:8], 16) % dim
+                    made[i, at] += n
+            norm = np.sqrt((made * made).sum(axis=1))
+            made /= np.where(norm == 0, 1.0, norm)[:, None]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
+
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")

@@ -396,12 +396,12 @@ def entailment_edges(spark, d):
 
 @query(
     f"""WITH {_VEC}, k AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 9) AS sim FROM v a, v b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 8)
-    SELECT DISTINCT least('C:' || a, 'C:' || b) AS src, greatest('C:' || a, 'C:' || b) AS dst, round(sim, 6) AS sim FROM k WHERE a <> b AND sim >= 0.25"""
+    SELECT DISTINCT least('C:' || a, 'C:' || b) AS src, greatest('C:' || a, 'C:' || b) AS dst, round(sim, 4) AS sim FROM k WHERE a <> b AND sim >= 0.25"""
 )
 def sim_edges(spark, d):
     """Similarity edges between nodes, none of which shares a block: each counts among its own nearest."""
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("canonical_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return retrieval.sim_edges(v, Config(sim_edge_topk=8, sim_edge_threshold=0.25)).select("src", "dst", F.round("sim", 6).alias("sim"))
+    return retrieval.sim_edges(v, Config(sim_edge_topk=8, sim_edge_threshold=0.25)).select("src", "dst", F.round("sim", 4).alias("sim"))
 
 
 # --- ranking
