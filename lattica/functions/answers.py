@@ -9,6 +9,17 @@ from lattica.functions import lexicons as L
 from lattica.functions.text import _col, bound, normalize_answer
 
 
+#: Patterns of dates, of questions that offer two options, of lead-ins of answers and of spans.
+ISO_DATE = r"^\s*(\d{3,4})-(\d{1,2})-(\d{1,2})\s*$"
+MONTH_DAY_YEAR = r"^\s*([A-Za-z]+)\s+(\d{1,2})\s*,?\s*(\d{3,4})\s*$"
+DAY_MONTH_YEAR = r"^\s*(\d{1,2})\s+([A-Za-z]+)\s+(\d{3,4})\s*$"
+OPTIONS = (r"(?:,|\b)([^,?]+?)\s+or\s+([^?]+?)\?\s*$", r"(?i)\bout of\s+(.+?)\s+and\s+(.+?)\?\s*$", r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)\?\s*$")
+ANSWER_TAIL = r"(?i)\banswer\s*:\s*(.+)"
+ANSWER_LEAD = r"(?i)^(the answer is|answer is|final answer is)\s*[:\-]?\s*"
+BORN, DIED = ("was born in ", "born in "), ("died in ", "died at ")
+DIED_ON, STUDIED, WORKED = ("died on ", r"date of death[:\s]+"), ("studied at ", "educated at "), ("works at ", "worked at ", "professor at ")
+
+
 def _month(name: Column) -> Column:
     pairs = [x for m in L.MONTHS for x in (F.lit(m), F.lit(m.capitalize()))]
     return F.try_element_at(F.create_map(*pairs), F.lower(name))
@@ -25,7 +36,7 @@ def normalize_date(text: Column | str) -> Column:
 
 def _date(t: Column) -> Column:
     show = lambda d, m, y: F.concat_ws(" ", d.cast("int").cast("string"), m, y.cast("int").cast("string"))
-    iso, mdy, dmy = r"^\s*(\d{3,4})-(\d{1,2})-(\d{1,2})\s*$", r"^\s*([A-Za-z]+)\s+(\d{1,2})\s*,?\s*(\d{3,4})\s*$", r"^\s*(\d{1,2})\s+([A-Za-z]+)\s+(\d{3,4})\s*$"
+    iso, mdy, dmy = ISO_DATE, MONTH_DAY_YEAR, DAY_MONTH_YEAR
     named = F.try_element_at(F.array(*[F.lit(m.capitalize()) for m in L.MONTHS]), F.nullif(_group(t, iso, 2).cast("int"), F.lit(0)))
     return (
         F.when(named.isNotNull(), show(_group(t, iso, 3), named, _group(t, iso, 1)))
@@ -35,9 +46,6 @@ def _date(t: Column) -> Column:
     )
 
 
-OPTIONS = (r"(?:,|\b)([^,?]+?)\s+or\s+([^?]+?)\?\s*$", r"(?i)\bout of\s+(.+?)\s+and\s+(.+?)\?\s*$", r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)\?\s*$")
-
-
 def binary_options(question: Column | str) -> Column:
     """Array of the two options that a question offers, or null."""
     q = _col(question)
@@ -66,10 +74,10 @@ def postprocess_answer(answer: Column | str, question: Column | str) -> Column:
 
 def _first_line(a: Column) -> Column:
     """The first line after the last "Answer:", without lead-ins, quotes and final dots."""
-    tails = F.regexp_extract_all(a, F.lit(r"(?i)\banswer\s*:\s*(.+)"), F.lit(1))
+    tails = F.regexp_extract_all(a, F.lit(ANSWER_TAIL), F.lit(1))
     a = F.coalesce(F.trim(F.try_element_at(tails, F.lit(-1))), a)
     a = F.trim(F.element_at(F.split(a, r"\r\n|\n|\r"), 1))
-    a = F.trim(F.regexp_replace(a, r"(?i)^(the answer is|answer is|final answer is)\s*[:\-]?\s*", ""))
+    a = F.trim(F.regexp_replace(a, ANSWER_LEAD, ""))
     return F.regexp_replace(F.regexp_replace(a, "^[ \\t\"'`]+|[ \\t\"'`]+$", ""), r"\.+$", "")
 
 
@@ -116,11 +124,11 @@ def _span(q: Column, text: Column) -> Column:
     def first(*leads: str) -> Column:
         return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}([^.;\n]+)", 1)), F.lit("")) for lead in leads])
 
-    born = F.when(q.contains("place of birth") | q.rlike(r"\bwhere\b.*\bborn\b"), normalize_place(F.nullif(first("was born in ", "born in "), F.lit(""))))
-    died = F.when(q.contains("place of death") | q.rlike(r"\bwhere\b.*\bdied?\b"), first("died in ", "died at "))
-    date = F.when(q.startswith("when ") | q.contains("date"), first("died on ", r"date of death[:\s]+"))
-    study = F.when(q.contains("study") | q.contains("studied"), first("studied at ", "educated at "))
-    work = F.when(q.contains("work at") | q.rlike(r"\bwhere\b.*\bwork\b"), first("works at ", "worked at ", "professor at "))
+    born = F.when(q.contains("place of birth") | q.rlike(r"\bwhere\b.*\bborn\b"), normalize_place(F.nullif(first(*BORN), F.lit(""))))
+    died = F.when(q.contains("place of death") | q.rlike(r"\bwhere\b.*\bdied?\b"), first(*DIED))
+    date = F.when(q.startswith("when ") | q.contains("date"), first(*DIED_ON))
+    study = F.when(q.contains("study") | q.contains("studied"), first(*STUDIED))
+    work = F.when(q.contains("work at") | q.rlike(r"\bwhere\b.*\bwork\b"), first(*WORKED))
     found = F.coalesce(
         F.nullif(born, F.lit("")), F.when(died.isNotNull(), normalize_place(died)), F.when(date.isNotNull(), normalize_date(date)), study, work
     )

@@ -65,15 +65,20 @@ def _trim_words(text: Column, words: list[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"(?i)^((?:{either})(?:\s+|$))+", ""), rf"(?i)((?:^|\s+)(?:{either}))+$", "")
 
 
+#: Patterns of mentions (a capitalised word, an acronym) and the most words that follow the first.
+NAME = "[A-Z][a-zA-Z.]+"
+ACRONYM = r"\b[A-Z]{2,}\b"
+JOINED, ADJACENT = 6, 5
+
+
 def entity_mentions(text: Column | str) -> Column:
     """Distinct capitalised runs and acronyms in order of pattern, then of place."""
-    word = "[A-Z][a-zA-Z.]+"
     inner = "|".join(L.INNER_CONNECTORS)
     t = clean_wiki_text(text)
     found = F.concat(
-        F.regexp_extract_all(t, F.lit(rf"\b{word}(?:\s+(?:{inner})\s+{word}){{1,6}}\b"), F.lit(0)),
-        F.regexp_extract_all(t, F.lit(rf"\b(?:{word})(?:\s+(?:{word})){{0,5}}\b"), F.lit(0)),
-        F.regexp_extract_all(t, F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)),
+        F.regexp_extract_all(t, F.lit(rf"\b{NAME}(?:\s+(?:{inner})\s+{NAME}){{1,{JOINED}}}\b"), F.lit(0)),
+        F.regexp_extract_all(t, F.lit(rf"\b(?:{NAME})(?:\s+(?:{NAME})){{0,{ADJACENT}}}\b"), F.lit(0)),
+        F.regexp_extract_all(t, F.lit(ACRONYM), F.lit(0)),
     )
     trimmed = F.transform(found, lambda m: _trim_words(_trim_words(collapse(strip_punctuation(m)), L.PREFIX_TRIM), L.CONNECTORS))
 

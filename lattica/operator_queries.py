@@ -16,14 +16,10 @@ from lattica.operators import dag, entities, graph, modelled, retrieval, segment
 from lattica.plans import models
 from lattica.plans.checkpoints import cut, ensure_checkpoint_dir
 from lattica.plans.engine import Engine
-from lattica.queries import _TOP, _VEC, MENTIONS, PASSAGES, _corpus, _saying, _vector_top, query, read
+from lattica.queries import _TOP, _VEC, MENTIONS, PASSAGES, _corpus, _saying, _vector_top, query, read, sql_list
 from lattica.sources import readers
 
 
-def _in(words: list[str]) -> str:
-    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
-
-
 def _values(texts: list[str]) -> str:
     return ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in enumerate(texts))
 
@@ -56,9 +52,9 @@ _S, _FIRST, _SECOND = "trim(t)", r"lower(string_split_regex(trim(t), '\s+')[1])"
 _DATE = f"((regexp_matches(lower({_S}), '{'|'.join(L.MONTHS)}') AND regexp_matches(lower({_S}), '\\b\\d{{1,2}}\\b') AND regexp_matches(lower({_S}), '\\b\\d{{4}}\\b')) OR regexp_matches({_S}, '^\\d{{4}}$'))"
 _NEXT = rf"({_SECOND} IS NULL OR (regexp_matches({_SECOND}, '\p{{Ll}}') AND NOT regexp_matches({_SECOND}, '\p{{Lu}}')))"
 VALID = rf"""(length({_S}) BETWEEN 3 AND 80 AND len(string_split_regex({_S}, '\s+')) <= 12 AND NOT (
-  {" OR ".join(f"starts_with(lower({_S}), '{p}')" for p in L.ROLE_PREFIXES)} OR {_DATE} OR regexp_matches({_S}, '^\p{{N}}+$') OR {_FIRST} IN {_in(L.PRONOUNS + L.DETERMINERS)}
-  OR lower({_S}) IN {_in(L.PRONOUNS)} OR (contains({_S}, ',') AND length({_S}) > 40)
-  OR (({_FIRST} IN {_in(L.DEMONYMS)} OR string_split_regex({_FIRST}, '[-/]')[1] IN {_in(L.DEMONYMS)}) AND {_NEXT})))"""
+  {" OR ".join(f"starts_with(lower({_S}), '{p}')" for p in L.ROLE_PREFIXES)} OR {_DATE} OR regexp_matches({_S}, '^\p{{N}}+$') OR {_FIRST} IN {sql_list(L.PRONOUNS + L.DETERMINERS)}
+  OR lower({_S}) IN {sql_list(L.PRONOUNS)} OR (contains({_S}, ',') AND length({_S}) > 40)
+  OR (({_FIRST} IN {sql_list(L.DEMONYMS)} OR string_split_regex({_FIRST}, '[-/]')[1] IN {sql_list(L.DEMONYMS)}) AND {_NEXT})))"""
 PERSON = rf"(len(string_split_regex({_S}, '\s+')) BETWEEN 2 AND 5 AND regexp_matches(string_split_regex({_S}, '\s+')[1], '^\p{{Lu}}') AND regexp_matches(string_split_regex({_S}, '\s+')[-1], '^\p{{Lu}}'))"
 PERSON_KEY = "CASE WHEN " + PERSON + " THEN " + NORM.format(rf"replace(string_split_regex({_S}, '\s+')[1], '.', '') || ' ' || replace(string_split_regex({_S}, '\s+')[-1], '.', '')") + " END"
 
@@ -86,9 +82,9 @@ _PARTS = "list_filter(list_transform(string_split(trim(t), ','), lambda x: trim(
 
 @query(
     f"""WITH {_templates_sql(PLACES)}, p AS (SELECT n_nationkey, k, t, {_PARTS} AS x FROM tpl)
-    SELECT n_nationkey, k, CASE WHEN len(x) >= 3 THEN x[1] WHEN len(x) = 2 THEN CASE WHEN lower(x[2]) IN {_in(L.COUNTRIES)} THEN x[1]
-      WHEN lower(x[2]) IN {_in(L.US_STATES)} AND starts_with(lower(x[1]), lower(x[2])) AND contains(lower(x[1]), 'city') THEN x[2]
-      WHEN lower(x[2]) IN {_in(L.US_STATES)} THEN x[1] ELSE x[1] || ', ' || x[2] END ELSE trim(t) END AS place FROM p"""
+    SELECT n_nationkey, k, CASE WHEN len(x) >= 3 THEN x[1] WHEN len(x) = 2 THEN CASE WHEN lower(x[2]) IN {sql_list(L.COUNTRIES)} THEN x[1]
+      WHEN lower(x[2]) IN {sql_list(L.US_STATES)} AND starts_with(lower(x[1]), lower(x[2])) AND contains(lower(x[1]), 'city') THEN x[2]
+      WHEN lower(x[2]) IN {sql_list(L.US_STATES)} THEN x[1] ELSE x[1] || ', ' || x[2] END ELSE trim(t) END AS place FROM p"""
 )
 def place_names(spark, d):
     return _templated(spark, d, PLACES).select("n_nationkey", "k", A.normalize_place("t").alias("place"))
@@ -188,7 +184,7 @@ _TOK = r"regexp_extract_all(lower(t), '[a-z0-9]+')"
 
 @query(
     f"""WITH {_templates_sql(TITLES)}, s AS (SELECT *, lower(trim(t)) AS l, list_extract({SNIPPETS!r}, k + 1) AS sn, {_TOK} AS w FROM tpl),
-    r AS (SELECT *, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(w, lambda x: x IN {_in(L.TITLE_STOPWORDS)}))::DOUBLE / len(w) END AS stop FROM s)
+    r AS (SELECT *, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(w, lambda x: x IN {sql_list(L.TITLE_STOPWORDS)}))::DOUBLE / len(w) END AS stop FROM s)
     SELECT n_nationkey, k, round(CASE WHEN l = '' THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.7 * (1 - (n_nationkey / 24.0)) + 0.3 * stop
       + CASE WHEN starts_with(l, 'list of ') OR starts_with(l, 'index of ') OR ends_with(l, ' (list)') THEN 0.25 ELSE 0 END
       + CASE WHEN contains(l, '(disambiguation)') OR contains(lower(sn), 'may refer to') OR contains(lower(sn), 'may also refer to') THEN 0.4 ELSE 0 END)) END, 6) AS genericness FROM r"""

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lattica.config import Config
 from lattica.functions import answers as A
 from lattica.functions import json_text as J
+from lattica.functions import lexicons as L
 from lattica.functions import metrics as M
 from lattica.functions import text as T
 from lattica.functions.vectors import embed
@@ -53,6 +54,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def sql_list(words: list[str]) -> str:
+    """Words as a list of SQL strings in brackets."""
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[\d+\]', '', 'g'), '(?i)^\s*Introduction\s*\n+', ''), '(?i)^\s*Introduction\s+', '')"
 SENTENCES = rf"""
 sent AS (SELECT doc_id, pos, s AS sentence, len(string_split(s, ' ')) AS n FROM (
@@ -107,9 +113,9 @@ def normalize_answers(spark, d):
 
 
 _W = "[A-Z][a-zA-Z.]+"
-_LOW = "('it','he','she','they','we','i','you','his','her','their','its','this','that','these','those','ceo','cfo','coo','cto','professor','officer','center','centre','science','law','medicine','department','school','introduction','currently','former','present','references','external','links','see','also','january','february','march','april','may','june','july','august','september','october','november','december')"
-_DEM = "('american','german','french','british','chinese','japanese','korean','italian','spanish','russian','indian','canadian','australian')"
-_CON = "a|an|the|of|for|and|or|to|by|from|as|in|on|at|de|la|von|van|&"
+_LOW = sql_list(L.SINGLE_DROPS)
+_DEM = sql_list(L.DEMONYMS)
+_CON = "|".join(L.CONNECTORS)
 MENTIONS = rf"""
 raw AS (SELECT doc_id, regexp_replace({CLEAN}, '[^\x00-\x7F]', '_', 'g') AS t FROM documents),
 found AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\b{_W}(?:\s+(?:of|for|and|the|&|in|on|at|de|la|von|van)\s+{_W}){{1,6}}\b'),
@@ -120,7 +126,7 @@ lead AS (SELECT doc_id, i, regexp_replace(regexp_replace(m, '^(?i)((?:introducti
 cutm AS (SELECT doc_id, i, regexp_replace(regexp_replace(m, '^(?i)((?:{_CON})(?:\s+|$))+', ''), '(?i)((?:^|\s+)(?:{_CON}))+$', '') AS m FROM lead),
 kept AS (SELECT doc_id, m, min(i) AS i FROM cutm WHERE m <> '' AND lower(m) NOT IN {_DEM} AND NOT (length(m) <= 2 AND regexp_matches(m, '^[A-Za-z]+$'))
   AND CASE WHEN contains(m, ' ') THEN regexp_matches(m, '(^|\s)[A-Z]') ELSE ((m = upper(m) AND m <> lower(m) AND length(m) >= 3) OR (length(m) >= 4 AND regexp_matches(m, '^[A-Z]')))
-    AND upper(m) NOT IN ('CEO','CFO','COO','CTO') AND lower(m) NOT IN {_LOW} END GROUP BY doc_id, m)"""
+    AND upper(m) NOT IN {sql_list(L.ACRONYM_DROPS)} AND lower(m) NOT IN {_LOW} END GROUP BY doc_id, m)"""
 
 
 @query(f"WITH {MENTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, m AS mention FROM kept")
@@ -149,8 +155,8 @@ def title_idf(spark, d):
 @query(
     f"""WITH {TITLES},
     words AS (SELECT page_id, unnest(ws) AS w FROM tok), 
-    av AS (SELECT page_id, avg(idf) AS avg_idf FROM words JOIN idf ON token = w WHERE NOT list_contains(['a','an','the','of','for','and','or','to','by','from','as','in','on','at','de','la','von','van'], w) GROUP BY page_id),
-    sr AS (SELECT page_id, title, CASE WHEN len(ws) = 0 THEN 1.0 ELSE len(list_filter(ws, lambda x: list_contains(['a','an','the','of','for','and','or','to','by','from','as','in','on','at','de','la','von','van'], x)))::DOUBLE / len(ws) END AS stop_ratio FROM tok),
+    av AS (SELECT page_id, avg(idf) AS avg_idf FROM words JOIN idf ON token = w WHERE NOT list_contains({list(L.TITLE_STOPWORDS)!r}, w) GROUP BY page_id),
+    sr AS (SELECT page_id, title, CASE WHEN len(ws) = 0 THEN 1.0 ELSE len(list_filter(ws, lambda x: list_contains({list(L.TITLE_STOPWORDS)!r}, x)))::DOUBLE / len(ws) END AS stop_ratio FROM tok),
     p AS (SELECT quantile_cont(idf, 0.1) AS p10, quantile_cont(idf, 0.9) AS p90 FROM idf)
     SELECT sr.page_id, title, round(coalesce(avg_idf, 0), 6) AS avg_idf, round(stop_ratio, 6) AS stop_ratio,
       round(CASE WHEN trim(title) = '' THEN 1.0 ELSE least(1.0, greatest(0.0, 0.70 * (1 - least(1.0, greatest(0.0, CASE WHEN p90 > p10 + 1e-9 THEN (coalesce(avg_idf, 0) - p10) / (p90 - p10) ELSE 0.5 END)))
@@ -379,7 +385,9 @@ def date_normalize(spark, d):
 
 
 @query(
-    """SELECT s_suppkey, CASE WHEN lower(n_name) IN ('united states','usa','u.s.','united kingdom','uk','england','scotland','wales','northern ireland','canada','mexico','china','germany','france','spain','italy','poland')
+    """SELECT s_suppkey, CASE WHEN lower(n_name) IN """
+    + sql_list(L.COUNTRIES)
+    + """
     THEN s_name ELSE s_name || ', ' || n_name END AS born, n_name AS works FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
 )
 def span_extract(spark, d):
