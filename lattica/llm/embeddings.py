@@ -23,10 +23,10 @@ from lattica.operators.components import connected_components
 from lattica.plans.checkpoints import cut
 
 COSINE = 0.93
-#: Vectors for one pivot, and pivots of a label at most.
-PER_PIVOT, PIVOTS = 64, 16
+#: A label has a pivot for every so many vectors, up to a few; then one for every so many more, up to the most.
+PER_PIVOT, FEW, PER_FURTHER, PIVOTS = 64, 4, 4096, 16
 #: Vectors that meet in one block, about.
-BLOCK = 4096
+BLOCK = 8192
 #: Distances are compared with so much slack, far above rounding; the cosine itself decides.
 SLACK = 1e-9
 KEYS = ["label", "size", "cell"]
@@ -74,16 +74,16 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         part = block.column("part_own").to_numpy()
         across = block.column("part_lo")[0].as_py() != block.column("part_hi")[0].as_py()
         roots, count = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for a in range(0, len(x), 512):
-            b = min(len(x), a + 512)
-            hit = x[a:b] @ x.T >= cosine
-            hit[np.arange(b - a), np.arange(a, b)] = False
-            hit &= own[a:b, None]
+        mine = np.flatnonzero(own)
+        for a in range(0, len(mine), 512):
+            w = mine[a : a + 512]
+            hit = x[w] @ x.T >= cosine
+            hit[np.arange(len(w)), w] = False
             if across:
-                hit &= part[a:b, None] != part[None, :]
-            count[a:b] = hit @ n
+                hit &= part[w, None] != part[None, :]
+            count[w] = hit @ n
             i, j = np.nonzero(hit)
-            join_roots(roots, i + a, j)
+            join_roots(roots, w[i], j)
         some = np.flatnonzero((count > 0) | (roots != np.arange(len(x))))
         if len(some):
             data = [pa.array(ids[some]), pa.array(ids[roots[some]]), pa.array(count[some])]
@@ -111,8 +111,10 @@ def near_vectors(
     classes = cut(classes).withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.size("vector"))
 
     plan = classes.groupBy("label", "size").agg(F.count("*").alias("held"))
+    # where no pivot can prune, every cell gets every vector, so small labels have few cells
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.least(F.lit(FEW), F.ceil(F.col("held") / PER_PIVOT)), F.ceil(F.col("held") / PER_FURTHER)))
     plan = plan.select(
-        "label", "size", F.least(F.lit(PIVOTS), F.ceil(F.col("held") / PER_PIVOT)).cast("int").alias("wanted"), F.ceil(F.col("held") / (2 * block)).cast("int").alias("salts")
+        "label", "size", wanted.cast("int").alias("wanted"), F.ceil(F.col("held") / (2 * block)).cast("int").alias("salts")
     )
     met = classes.join(plan, ["label", "size"])
     chosen = met.groupBy("label", "size", F.pmod("h2", "wanted").alias("which")).agg(F.min_by("vector", F.struct("h1", "h2")).alias("vector"), F.first("salts").alias("salts"))
