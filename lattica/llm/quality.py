@@ -78,10 +78,10 @@ def statistics(text: str, words: list[bytes], ids: np.ndarray, n_distinct: int)
 
 
 def grams(text: str, ids: np.ndarray, distinct: list[bytes]):
-    """Hashes of character n-grams, then of word n-grams (apart by one bit), each as a list of arrays."""
+    """Hashes of character n-grams, then of word n-grams (apart by one bit), window by window, so that a long text is never held whole."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     hashed = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    return list(rolling(points, CHARS, BITS)), [h + (1 << BITS) for h in rolling(hashed[ids], WORDS, BITS, 7)]
+    return rolling(points, CHARS, BITS), (h + (1 << BITS) for h in rolling(hashed[ids], WORDS, BITS, 7))
 
 
 @dataclass(frozen=True)
@@ -104,9 +104,11 @@ class QualityModel:
     def probability(self, text: str, ids: np.ndarray, distinct: list[bytes]) -> float:
         z = self.intercept
         for part in grams(text, ids, distinct):
-            n = sum(map(len, part))
+            n, total = 0, 0.0
+            for h in part:
+                n, total = n + len(h), total + float(self.weights[h].sum())
             if n:
-                z += sum(float(self.weights[h].sum()) for h in part) / n
+                z += total / n
         return 1 / (1 + float(np.exp(-np.clip(self.slope * z + self.offset, -40, 40))))
 
 
@@ -114,7 +116,7 @@ def _frequencies(text: str) -> tuple[bytes]:
     words = text.encode().split()
     ids, distinct = word_ids(words)
     cols, vals = [], []
-    for part in grams(text, ids, distinct):
+    for part in map(list, grams(text, ids, distinct)):
         if part:
             c, n = np.unique(np.concatenate(part), return_counts=True)
             cols.append(c.astype(np.int32))

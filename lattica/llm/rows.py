@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lattica.llm.marks import free
+
 #: Rows handled at once inside a task, so that a batch of long texts is not held twice as Python objects.
 SLICE = 256
 
@@ -21,7 +23,7 @@ def each_text(
     ``make`` runs once per task and returns the function of a text, so models and caches live as long as the task.
     """
     keep = list(keep)
-    rows = df.select(*[f"`{k}`" for k in keep], df[text].cast("string").alias("__text"))
+    rows = df.select(*[f"`{k}`" for k in keep], df[text].cast("string").alias(free(df, "text_of_row")))
     added = StructType.fromDDL(out) if isinstance(out, str) else out
     whole = StructType(list(rows.schema.fields[: len(keep)]) + list(added.fields))
     kinds = list(to_arrow_schema(added).types)
