@@ -333,7 +333,7 @@ def struct_index(spark, d):
     cop AS (SELECT c.doc_id AS capsule_id, min(c.doc_id) OVER (PARTITION BY c.text, es.es) AS first FROM caps c JOIN es ON es.capsule_id = c.doc_id),
     cand AS (SELECT DISTINCT a.capsule_id AS a, b.capsule_id AS b FROM ce a JOIN ce b ON a.entity_id = b.entity_id AND a.capsule_id < b.capsule_id
       JOIN cop x ON x.capsule_id = a.capsule_id AND x.first = a.capsule_id JOIN cop y ON y.capsule_id = b.capsule_id AND y.first = b.capsule_id),
-    sims AS (SELECT cand.a, cand.b FROM cand JOIN cv x ON x.doc_id = cand.a JOIN cv y ON y.doc_id = cand.b AND y.b = x.b GROUP BY cand.a, cand.b HAVING sum(x.x * y.x) >= 0.88),
+    sims AS (SELECT cand.a, cand.b FROM cand JOIN cv x ON x.doc_id = cand.a JOIN cv y ON y.doc_id = cand.b AND y.b = x.b GROUP BY cand.a, cand.b HAVING round(sum(x.x * y.x), 9) >= 0.88),
     lk AS (SELECT a AS x, b AS y FROM sims UNION SELECT capsule_id, first FROM cop WHERE capsule_id <> first), bw AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
     rr AS (SELECT x AS node, x AS lab FROM bw UNION SELECT bw.y, rr.lab FROM rr JOIN bw ON bw.x = rr.node AND rr.lab < bw.y), cl AS (SELECT node, min(lab) AS cluster FROM rr GROUP BY node),
     mem AS (SELECT c.doc_id AS capsule_id, c.text, c.passage_id, c.doc_idx, c.sent_id, coalesce(cluster, c.doc_id) AS cluster FROM caps c LEFT JOIN cl ON node = c.doc_id)

@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.config import Config
 from lattica.functions import json_text as J
-from lattica.functions.vectors import dot, l2_normalize
+from lattica.functions.vectors import l2_normalize
+from lattica.operators.blocks import deal, groups, together
 from lattica.operators.components import connected_components
 
 
-def similar_pairs(capsules: DataFrame, config: Config = Config()) -> DataFrame:
+#: Capsules that meet in one block, about.
+BLOCK = 4096
+
+
+def _close(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[pa.RecordBatch]:
+    """``(a, b, sim)`` of each block: equal polarity, and similar enough for their predicates."""
+    for block in groups(batches, 4):
+        block = block.combine_chunks()
+        x = np.asarray(block.column("embedding").combine_chunks().flatten(), np.float64).reshape(block.num_rows, -1)
+        ids = np.asarray(block.column("capsule_id").to_pylist())
+        part, polarity, predicate = (block.column(c).to_numpy() for c in ("part_own", "polarity", "predicate"))
+        across = block.column("part_lo")[0].as_py() != block.column("part_hi")[0].as_py()
+        for at in range(0, len(x), 512):
+            here = slice(at, at + 512)
+            sim = np.round(x[here] @ x.T, 9)
+            same = (predicate[here, None] == predicate) | (predicate[here, None] == 0) | (predicate == 0)
+            ok = (sim >= np.where(same, config.merge_threshold, config.predicate_free_threshold)) & (polarity[here, None] == polarity) & (ids[here, None] < ids)
+            if across:
+                ok &= part[here, None] != part
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + at]), pa.array(ids[j]), pa.array(sim[i, j])], names=["a", "b", "sim"])
+
+
+def similar_pairs(capsules: DataFrame, config: Config = Config(), block: int = BLOCK) -> DataFrame:
     """``(a, b, sim)`` with ``a < b``: capsules that share an entity, agree in polarity and are similar enough.
 
-    A merge needs a shared entity, so the equi join on entities is complete. Each pair is formed at the smallest entity
-    that it shares, by the join's own condition, and never twice. Different predicates need a higher similarity. With
-    ``neighbor_limit`` only pairs among the nearest of the first one stay.
+    A merge needs a shared entity, so capsules meet by entity. The capsules of a common entity are dealt out as blocks of
+    bounded size, which are compared as matrices; only similar pairs leave a block, each once. Different predicates
+    need a higher similarity. With ``neighbor_limit`` only pairs among the nearest of the first one stay.
     """
-    # equal vectors with equal entities are one node: copies are tied to their first and not paired
-    e = capsules.select("capsule_id", "entity_ids", "predicate", "polarity", "embedding", F.explode("entity_ids").alias("entity_id"))
-    left = e.select(*[F.col(c).alias(f"a_{c}") for c in e.columns])
-    right = e.select(*[F.col(c).alias(f"b_{c}") for c in e.columns])
-    smallest = F.array_min(F.array_intersect("a_entity_ids", "b_entity_ids")) == F.col("a_entity_id")
-    sim = dot("a_embedding", "b_embedding")
-    same = (F.col("a_predicate") == F.col("b_predicate")) | (F.col("a_predicate") == "") | (F.col("b_predicate") == "")
-    on = (F.col("a_entity_id") == F.col("b_entity_id")) & (F.col("a_capsule_id") < F.col("b_capsule_id")) & (F.col("a_polarity") == F.col("b_polarity"))
-    pairs = left.join(right, on & smallest & (sim >= config.merge_threshold) & (same | (sim >= config.predicate_free_threshold)))
-    out = pairs.select(F.col("a_capsule_id").alias("a"), F.col("b_capsule_id").alias("b"), sim.alias("sim"))
+    name = lambda c: F.when(F.col(c) == "", F.lit(0)).otherwise(F.xxhash64(c)).cast("long").alias(c)
+    rows = capsules.select(F.explode("entity_ids").alias("entity"), "capsule_id", name("polarity"), name("predicate"), F.col("embedding").cast("array<double>").alias("embedding"))
+    keyed = rows.withColumns({"at": F.xxhash64("entity"), "at2": F.xxhash64(F.lit(5), "entity")})
+    keys = ["at", "at2", "part_lo", "part_hi"]
+    dealt = deal(keyed, keys[:2], "capsule_id", block).select(*keys, "part_own", "capsule_id", "polarity", "predicate", "embedding")
+    out = together(dealt, keys).mapInArrow(lambda b: _close(b, config), "a string, b string, sim double").dropDuplicates(["a", "b"])
     if config.neighbor_limit:
         near = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
         out = out.withColumn("r", F.row_number().over(near)).where(F.col("r") <= config.neighbor_limit).drop("r")

@@ -9,7 +9,7 @@ from lattica.config import Config
 from lattica.functions import lexicons as L
 from lattica.functions import text as T
 from lattica.operators.components import connected_components
-from lattica.operators.segmentation import numbered
+from lattica.operators.segmentation import numbered_by_range
 
 
 def surface_counts(capsules: DataFrame, titles: DataFrame, config: Config = Config()) -> DataFrame:
@@ -50,9 +50,7 @@ def entities(clusters: DataFrame) -> DataFrame:
     grouped = clusters.groupBy("cluster").agg(
         F.min_by("surface", best).alias("canonical_name"), F.sort_array(F.collect_set("surface")).alias("aliases"), F.sum("freq").alias("freq")
     )
-    # frequency and the name's first letters order groups of names, so no window holds all entities
-    ordered = grouped.withColumns({"__f": -F.col("freq"), "__p": F.substring(F.lower("canonical_name"), 1, 3), "__l": F.lower("canonical_name")})
-    rows = numbered(ordered, ["__f", "__p"], ["__l", "canonical_name"], "nr")
+    rows = numbered_by_range(grouped, [-F.col("freq"), F.lower("canonical_name"), F.col("canonical_name")], "nr")
     return rows.withColumn("entity_id", F.format_string("E_%07d", "nr")).select("entity_id", "canonical_name", "aliases", "freq", "cluster")
 
 

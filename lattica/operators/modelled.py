@@ -122,9 +122,9 @@ def entailment_edges(canonical: DataFrame, completer: Completer | None = None, c
     sim = dot("a_embedding", "b_embedding")
     met = (F.col("a_at") == F.col("b_at")) & (F.col("a_canonical_id") < F.col("b_canonical_id")) & (sim >= config.entails_min_sim)
     met &= F.array_min(F.array_intersect("a_entity_ids", "b_entity_ids")) == F.col("a_at")
+    if completer is None:  # equal texts are all that counts, so they are a key of the join
+        met &= F.trim("a_text") == F.trim("b_text")
     pairs = left.join(right, met).select("a_canonical_id", "b_canonical_id", F.trim("a_text").alias("a"), F.trim("b_text").alias("b"), sim.alias("sim"))
-    if completer is None:
-        pairs = pairs.where(F.col("a") == F.col("b"))
     pairs = cut(pairs)
     same = pairs.where(F.col("a") == F.col("b")).withColumns({"label": F.lit("equivalent"), "confidence": F.lit(1.0), "cost": F.lit(config.cost_same_text)})
     judged = same

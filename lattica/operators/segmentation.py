@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lattica.config import Config
 from lattica.functions import text as T
+from lattica.plans.checkpoints import cut
 
 
 def corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,3 +160,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> D
     starts = starts.select(*groups, (F.col("__near") + F.col("__far")).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
     return df.join(starts, groups).withColumn(name, F.col("__start") + inside).drop("__start")
+
+
+def numbered_by_range(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers from 0 in a total order: places inside the ranges of the order plus the rows of the ranges before.
+
+    No window holds more than the table of ranges. The rows are materialised, before and after they are put in order.
+    """
+    keys = {f"__k{i}": c for i, c in enumerate(order)}
+    dealt = cut(df.withColumns(keys)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(dealt.select(*df.columns, F.spark_partition_id().alias("__slot"), F.monotonically_increasing_id().alias("__at")))
+    slots = placed.groupBy("__slot").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    ahead = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("__slot", (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__first")).alias("__from"))
+    return placed.join(slots, "__slot").withColumn(name, F.col("__at") + F.col("__from")).drop("__slot", "__at", "__from")
