@@ -50,13 +50,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def induce(seeds: DataFrame, adjacency: DataFrame, config: Config = Config()) -> DataFrame:
-    """``(qid, node, depth)`` within ``hops`` of a question's seeds; the nearest nodes first, then by name, up to the cap."""
+    """``(qid, node, depth)`` within ``hops`` of a question's seeds; the nearest nodes first, then by name, up to the cap ``max_nodes`` (0: all)."""
     reached = seeds.select("qid", F.col("seed").alias("node")).distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for depth in range(1, config.hops + 1):
         step = frontier.join(adjacency.select("src", "dst"), F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(reached, ["qid", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         reached = reached.unionByName(frontier)
+    if not config.max_nodes:
+        return reached
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("depth", "node"))
     return reached.withColumn("r", rank).where(F.col("r") <= config.max_nodes).drop("r")
 
