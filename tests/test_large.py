@@ -32,3 +32,7 @@ def same_as_sql(spark, crowded, name):
 
 def test_induced_2hop(spark, crowded):
     same_as_sql(spark, crowded, "induced_2hop")
+
+
+def test_path_connect(spark, crowded):
+    same_as_sql(spark, crowded, "path_connect")
