@@ -36,3 +36,7 @@ def test_induced_2hop(spark, crowded):
 
 def test_path_connect(spark, crowded):
     same_as_sql(spark, crowded, "path_connect")
+
+
+def test_ppr_10_steps(spark, crowded):
+    same_as_sql(spark, crowded, "ppr_10_steps")
