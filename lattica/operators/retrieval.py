@@ -105,7 +105,8 @@ def sim_edges(canonical: DataFrame, config: Config = Config()) -> DataFrame:
 
 def best_per_doc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Best passage of each document: ``(*keys, doc_idx, passage_id, sim)``, the smaller passage on ties."""
-    best = F.max_by(F.struct("passage_id", "sim"), F.struct(F.col("sim"), -F.substring("passage_id", -3, 3).cast("int")))
+    order = F.struct(F.col("sim").isNull().alias("none"), (~F.isnan("sim")).alias("real"), (-F.col("sim")).alias("less"), F.col("passage_id"))
+    best = F.min_by(F.struct("passage_id", "sim"), order)
     return scores.groupBy(*keys, "doc_idx").agg(best.alias("b")).select(*keys, "doc_idx", "b.passage_id", "b.sim")
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lattica import operator_queries, queries  # noqa: F401  (the first registers its queries)
+from lattica.operators import retrieval
 
 N = 5200
 
@@ -40,3 +41,9 @@ def test_path_connect(spark, crowded):
 
 def test_ppr_10_steps(spark, crowded):
     same_as_sql(spark, crowded, "ppr_10_steps")
+
+
+def test_best_passage_of_a_long_document(spark):
+    rows = [(0, 1, "P_0000001_1000", 0.5), (0, 1, "P_0000001_999", 0.5), (0, 1, "P_0000001_1001", 0.4), (1, 2, "P_0000002_001", None), (1, 2, "P_0000002_002", -0.1)]
+    got = retrieval.best_per_doc(spark.createDataFrame(rows, "qid long, doc_idx long, passage_id string, sim double"), ["qid"])
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, "P_0000001_1000", 0.5), (1, 2, "P_0000002_002", -0.1)]
