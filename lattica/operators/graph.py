@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.config import TYPE_WEIGHTS, Config
-from lattica.functions.vectors import dot
+from lattica.operators.blocks import BLOCK, deal, doubt, exact_dots, groups, meetings, together
 from lattica.plans.checkpoints import cut
 
 
@@ -25,12 +29,64 @@ def evidence_edges(passages: DataFrame, canonical: DataFrame, sim: DataFrame | N
     return edges.dropDuplicates(["src", "dst", "type"])
 
 
-def knn_edges(vectors: DataFrame, key: str, vector: str, block: str, k: int, threshold: float) -> DataFrame:
-    """``(src, dst, sim)``: unordered pairs inside a block that are among either one's ``k`` nearest and similar enough."""
-    a = vectors.select(F.col(block).alias("g"), F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(F.col(block).alias("h"), F.col(key).alias("b"), F.col(vector).alias("y"))
-    sim = dot("x", "y")
-    near = a.join(b, (F.col("g") == F.col("h")) & (F.col("a") != F.col("b")) & (sim >= threshold)).select("a", "b", sim.alias("sim"))
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """``(a, b, sim)`` of each block: for each of its rows the ``k`` nearest similar ones that it meets there, ties by key.
+
+    A matrix product finds them with some to spare, exact sums decide. Of equal vectors only the first ``k + 1`` can be near to any.
+    """
+    for block in groups(batches, 5):
+        block = block.combine_chunks()
+        size = block.column("size")[0].as_py()
+        keys = block.column("key").to_numpy()
+        turn = np.argsort(keys, kind="stable")
+        names, part = block.column("key").take(pa.array(turn)).combine_chunks(), block.column("part_own").to_numpy()[turn]
+        keys = np.unique(keys[turn], return_inverse=True)[1]
+        x = np.asarray(block.column("vector").combine_chunks().flatten(), np.float64).reshape(-1, size)[turn]
+        x += 0.0  # one zero
+        lo, hi = (block.column(c)[0].as_py() for c in ("part_lo", "part_hi"))
+        kinds: dict[tuple, int] = {}
+        first = np.zeros(len(x), bool)
+        for r in range(len(x)):
+            kind = (part[r], x[r].tobytes())
+            kinds[kind] = kinds.get(kind, 0) + 1
+            first[r] = kinds[kind] <= k + 1
+        everyone = np.arange(len(x))
+        sides = [(everyone, everyone)] if lo == hi else [(everyone[part == lo], everyone[part == hi]), (everyone[part == hi], everyone[part == lo])]
+        slack = doubt(x)
+        for rows, columns in (m for r, c in sides for m in meetings(r, c[first[c]])):
+            sim = x[rows] @ x[columns].T
+            sim[np.isnan(sim)] = np.inf
+            sim[keys[rows, None] == keys[columns]] = -np.inf
+            least = np.full(len(rows), threshold)
+            if len(columns) > k:
+                least = np.maximum(least, np.partition(sim, -k, axis=1)[:, -k])
+            i, j = np.nonzero(sim >= (least - slack)[:, None])
+            i, j = rows[i], columns[j]
+            sure = exact_dots(x, i, j)
+            near = ~(sure < threshold)
+            i, j, sure = i[near], j[near], sure[near]
+            turn = np.lexsort((j, np.where(np.isnan(sure), -np.inf, -sure), i))
+            i, j, sure = i[turn], j[turn], sure[turn]
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            some = np.flatnonzero(np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) < k)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i[some])), names.take(pa.array(j[some])), pa.array(sure[some])], names=["a", "b", "sim"])
+
+
+def knn_edges(vectors: DataFrame, key: str, vector: str, block: str, k: int, threshold: float, most: int = BLOCK) -> DataFrame:
+    """``(src, dst, sim)``: unordered pairs inside a block that are among either one's ``k`` nearest and similar enough.
+
+    The vectors of a block meet as matrices in groups of at most ``most`` rows; only each row's nearest of a group leave it.
+    Keys, blocks and vectors that are null or hold a null link with nothing, nor do vectors of different length.
+    """
+    whole = F.forall("vector", lambda v: v.isNotNull())
+    rows = vectors.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.where(F.col("block").isNotNull() & F.col("key").isNotNull() & whole)
+    keys = ["at", "at2", "size", "part_lo", "part_hi"]
+    keyed = rows.select(F.xxhash64("block").alias("at"), F.xxhash64(F.lit(5), "block").alias("at2"), F.size("vector").alias("size"), "key", "vector")
+    dealt = together(deal(keyed, keys[:3], "key", most).select(*keys, "part_own", "key", "vector"), keys)
+    kind = dict(rows.dtypes)["key"]
+    near = dealt.mapInArrow(lambda b: _nearest(b, k, threshold), f"a {kind}, b {kind}, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     kept = near.withColumn("r", rank).where(F.col("r") <= k)
     return kept.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "sim").dropDuplicates(["src", "dst"])

@@ -1,10 +1,12 @@
 """Queries on tables beyond the settings' caps, and operators on groups beyond a block."""
 
+import random
+
 import duckdb
 import pytest
 
 from lattica import operator_queries, queries  # noqa: F401  (the first registers its queries)
-from lattica.operators import retrieval
+from lattica.operators import graph, retrieval
 
 N = 5200
 
@@ -47,3 +49,22 @@ def test_best_passage_of_a_long_document(spark):
     rows = [(0, 1, "P_0000001_1000", 0.5), (0, 1, "P_0000001_999", 0.5), (0, 1, "P_0000001_1001", 0.4), (1, 2, "P_0000002_001", None), (1, 2, "P_0000002_002", -0.1)]
     got = retrieval.best_per_doc(spark.createDataFrame(rows, "qid long, doc_idx long, passage_id string, sim double"), ["qid"])
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, "P_0000001_1000", 0.5), (1, 2, "P_0000002_002", -0.1)]
+
+
+def test_nearest_in_blocks(spark):
+    """Groups beyond a block, with copies, against a plain version; the old join made every pair of a label row by row."""
+    r = random.Random(4)
+    some = [[r.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    rows = [(i, i % 2, some[r.randrange(60)] if i % 3 else [r.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    odd = [(900, 0, None), (901, None, some[0]), (902, 0, [None] * 6), (903, 0, some[0][:5]), (904, 0, [0.0] * 6)]
+    dots = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    want = set()
+    for a, g, x in rows:
+        near = sorted((-dots(x, y), b) for b, h, y in rows if h == g and b != a and dots(x, y) >= 0.3)[:4]
+        want |= {(min(a, b), max(a, b), -s) for s, b in near}
+    df = spark.createDataFrame(rows + odd, "id long, g int, v array<double>")
+    plan = graph.knn_edges(df, "id", "v", "g", 4, 0.3, 40)
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+    got = plan.collect()
+    assert {(x["src"], x["dst"]) for x in got} == {(a, b) for a, b, _ in want} and len(got) == len(want)
+    assert all(abs(x["sim"] - {(a, b): s for a, b, s in want}[x["src"], x["dst"]]) < 1e-12 for x in got)
