@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -13,6 +14,20 @@ from lattica.llm.marks import free
 
 #: Rows handled at once inside a task, so that a batch of long texts is not held twice as Python objects.
 SLICE = 256
+#: Bytes of a batch of texts or sets where two of them make a row.
+BATCH = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """What is materialised inside goes to Python in batches of about ``size`` bytes at most; the JVM and Python each hold them whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def each_text(

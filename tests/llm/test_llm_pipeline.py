@@ -1,7 +1,14 @@
 """The pipeline's stages, each on what the one before has kept, and its odd rows."""
 
+import tracemalloc
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lattica.llm import jaccard, rows
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +104,20 @@ def test_near_dedup_keeps_different_texts_of_a_key(spark):
     kept = sorted(((r["doc_id"] or -1, r["text"]) for r in got.collect()))
     assert kept == sorted([(7, rows[0][1]), (7, rows[1][1]), (-1, long), (-1, "null key alone"), (9, "alone")])
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_in_bounded_memory(spark):
+    """A block's pairs are looked at in small pieces, and batches are small only while the stage works."""
+    rng, n = np.random.default_rng(2), 3000
+    parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * jaccard.PARITY), pa.array(rng.integers(0, 1 << 62, n * jaccard.PARITY)))
+    zero = pa.array(np.zeros(n, np.int64))
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.full(n, 100)), parity], names=["shingle", "part_lo", "part_hi", "node", "root", "n", "parity"])
+    tracemalloc.start()
+    assert list(jaccard._pairs(iter([batch]), Fraction("0.8"))) == []
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with rows.small_batches(spark):
+        assert spark.conf.get(name) == f"{rows.BATCH}b"
+    assert spark.conf.get(name) == before
