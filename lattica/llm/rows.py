@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from ctypes import CDLL
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,14 @@ def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Memory that a task's worker has freed goes back to the system, not to the worker's next task alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def each_text(
     df: DataFrame, text: str, make: Callable[[], Callable[[str | None], tuple]], out: str | StructType, keep: Iterable[str] = ()
 ) -> DataFrame:
@@ -52,5 +61,6 @@ def each_text(
                 made = list(zip(*(f(t.as_py()) for t in part.column(len(keep))), strict=True))
                 new = [pa.array(column, kind) for column, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=names)
+        give_back()
 
     return rows.mapInArrow(run, whole)
