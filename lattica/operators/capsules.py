@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from lattica.config import Config
 from lattica.functions import json_text as J
 from lattica.functions.vectors import l2_normalize
-from lattica.operators.blocks import deal, groups, together
+from lattica.operators.blocks import deal, doubt, exact_dots, groups, together
 from lattica.operators.components import connected_components
 
 
@@ -29,16 +29,21 @@ def _close(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[pa.Rec
         ids = np.asarray(block.column("capsule_id").to_pylist())
         part, polarity, predicate = (block.column(c).to_numpy() for c in ("part_own", "polarity", "predicate"))
         across = block.column("part_lo")[0].as_py() != block.column("part_hi")[0].as_py()
+        slack = doubt(x)
         for at in range(0, len(x), 512):
             here = slice(at, at + 512)
-            sim = np.round(x[here] @ x.T, 9)
+            sim = x[here] @ x.T
             same = (predicate[here, None] == predicate) | (predicate[here, None] == 0) | (predicate == 0)
-            ok = (sim >= np.where(same, config.merge_threshold, config.predicate_free_threshold)) & (polarity[here, None] == polarity) & (ids[here, None] < ids)
+            least = np.where(same, config.merge_threshold, config.predicate_free_threshold)
+            ok = (sim >= least - slack) & (polarity[here, None] == polarity) & (ids[here, None] < ids)
             if across:
                 ok &= part[here, None] != part
             i, j = np.nonzero(ok)
+            sure = exact_dots(x, i + at, j)  # the sums decide, as in SQL, and are not rounded twice
+            some = sure >= least[i, j]
+            i, j, sure = i[some], j[some], sure[some]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + at]), pa.array(ids[j]), pa.array(sim[i, j])], names=["a", "b", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + at]), pa.array(ids[j]), pa.array(sure)], names=["a", "b", "sim"])
 
 
 def similar_pairs(capsules: DataFrame, config: Config = Config(), block: int = BLOCK) -> DataFrame:
