@@ -15,6 +15,7 @@ from lattica.functions import json_text as J
 from lattica.functions.vectors import l2_normalize
 from lattica.operators.blocks import deal, doubt, exact_dots, groups, together
 from lattica.operators.components import connected_components
+from lattica.plans.checkpoints import cut
 
 
 #: Capsules that meet in one block, about.
@@ -121,11 +122,18 @@ def canonical_capsules(capsules: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def centroids(capsules: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``(cluster, embedding)``: normalised mean vectors, summed by dimension before they are put together."""
-    rows = capsules.join(clusters, "capsule_id").select("cluster", F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy("cluster", "i").agg(F.avg("x").alias("x"))
+    """``(cluster, embedding)``: normalised mean vectors, summed by dimension before they are put together.
+
+    The one member of a cluster is its mean, so only the vectors of larger clusters are taken apart.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = capsules.select("capsule_id", "embedding").join(cut(clusters.join(sizes, "cluster")), "capsule_id")
+    alone = rows.where("n = 1").select("cluster", F.col("embedding").cast("array<double>").alias("v"))
+    each = rows.where("n > 1").select("cluster", F.posexplode("embedding").alias("i", "x"))
+    means = each.groupBy("cluster", "i").agg(F.avg("x").alias("x"))
     dense = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return means.groupBy("cluster").agg(dense.alias("v")).select("cluster", l2_normalize("v").alias("embedding"))
+    both = alone.unionByName(means.groupBy("cluster").agg(dense.alias("v")))
+    return both.select("cluster", l2_normalize("v").alias("embedding"))
 
 
 def struct_index(passages: DataFrame, canonical: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:

@@ -25,10 +25,15 @@ def evidence_edges(passages: DataFrame, canonical: DataFrame, sim: DataFrame | N
     mentions = mentions.select(node("C", "canonical_id").alias("src"), node("E", "e").alias("dst"), F.lit("mentions").alias("type"), F.lit(config.cost_mentions).alias("cost"))
     edges = in_doc.unionByName(in_passage).unionByName(mentions)
     if sim is not None:
-        edges = edges.unionByName(sim.select("src", "dst", F.lit("sim").alias("type"), F.lit(config.cost_sim).alias("cost")))
+        edges = edges.unionByName(sim_rows(sim, config))
     return edges.dropDuplicates(["src", "dst", "type"])
 
 
+def sim_rows(sim: DataFrame, config: Config = Config()) -> DataFrame:
+    """Pairs ``(src, dst, sim)`` as edges."""
+    return sim.select("src", "dst", F.lit("sim").alias("type"), F.lit(config.cost_sim).alias("cost"))
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """``(a, b, sim)`` of each block: for each of its rows the ``k`` nearest similar ones that it meets there, ties by key.
 

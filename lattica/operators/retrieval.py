@@ -34,7 +34,7 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
     has the greatest product, ties by owner, each with that item.
 
     Items are never moved: every Arrow batch is multiplied with the queries' matrix, each task keeps its running ``k`` best
-    of a query, and only those are ranked. The matrix is sent to the executors in blocks of a checked size, one pass for each.
+    of a query (what is below the last of them goes at once), and only those are ranked. The matrix is sent to the executors in blocks of a checked size, one pass for each.
     """
     rows = queries.select(query, vector).orderBy(query).toLocalIterator()
     schema = f"{query} {dict(queries.dtypes)[query]}, {item} {dict(items.dtypes)[item]}, sim double" + (f", {owner} {dict(items.dtypes)[owner]}" if owner else "")
@@ -48,26 +48,33 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             held: list[tuple] = []
+            floor, fresh = np.full(len(ids), -np.inf), 0  # each query's k-th best so far: nothing below it can be among its best
+            step = max(32, min(1024, (1 << 19) // max(1, len(ids))))
 
             def fold() -> None:
                 who, what, sim, own = (None if held[0][i] is None else np.concatenate([h[i] for h in held]) for i in range(4))
                 top = _best(who, what, sim, own, k)
                 held[:] = [(who[top], what[top], sim[top], None if own is None else own[top])]
+                n = np.bincount(who[top], minlength=len(ids))
+                floor[n == k] = sim[top][np.cumsum(n)[n == k] - 1]
 
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
                     sim = np.round(x @ q.T, 9)
-                    # what is below a query's k-th best of this part cannot be among its best, except for owners
-                    least = -np.inf if owner or len(sim) <= k else np.partition(sim, -k, axis=0)[-k]
-                    rows, who = np.nonzero(sim >= least)
+                    some = sim >= floor
+                    if not owner and len(sim) > k and np.count_nonzero(some) > k * len(ids):
+                        some &= sim >= np.partition(sim, -k, axis=0)[-k]
+                    rows, who = np.nonzero(some)
+                    if not len(rows):
+                        continue
                     names = np.asarray(part.column(0).to_pylist())
-                    own = np.asarray(part.column(2))[rows] if owner else None
-                    top = _best(who, names[rows], sim[rows, who], own, k)
-                    held.append((who[top], names[rows][top], sim[rows, who][top], own[top] if owner else None))
-                    if sum(len(h[0]) for h in held) > 2 * k * len(ids) + (1 << 16):
+                    held.append((who, names[rows], sim[rows, who], np.asarray(part.column(2))[rows] if owner else None))
+                    fresh += len(rows)
+                    if fresh >= max(k * len(ids), 1 << 12):
                         fold()
+                        fresh = 0
             if held:
                 fold()
                 who, what, sim, own = held[0]
@@ -91,14 +98,20 @@ def dense_topk(items: DataFrame, item: str, queries: DataFrame, query: str, k: i
     return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def sim_edges(canonical: DataFrame, config: Config = Config()) -> DataFrame:
+def sim_edges(canonical: DataFrame, config: Config = Config(), among: DataFrame | None = None) -> DataFrame:
     """``(src, dst, sim)``: unordered pairs of capsule nodes of which one is among the other's nearest and similar enough.
 
-    As in the engine that is followed, a capsule counts among its own ``sim_edge_topk`` nearest.
+    As in the engine that is followed, a capsule counts among its own ``sim_edge_topk`` nearest. With ``among``
+    (``canonical_id``), only the pairs of two of these; their nearest are still sought among all.
     """
-    asked = canonical.select(F.col("canonical_id").alias("other"), "embedding")
+    if among is not None:
+        asked = canonical.join(among.select("canonical_id"), "canonical_id", "left_semi").select(F.col("canonical_id").alias("other"), "embedding")
+    else:
+        asked = canonical.select(F.col("canonical_id").alias("other"), "embedding")
     near = dense_topk(canonical, "canonical_id", asked, "other", config.sim_edge_topk, config)
     near = near.where((F.col("other") != F.col("canonical_id")) & (F.col("sim") >= config.sim_edge_threshold))
+    if among is not None:
+        near = near.join(among.select("canonical_id"), "canonical_id", "left_semi")
     a, b = F.concat(F.lit("C:"), "other"), F.concat(F.lit("C:"), "canonical_id")
     return near.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "sim").dropDuplicates(["src", "dst"])
 

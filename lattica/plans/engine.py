@@ -47,8 +47,12 @@ class Engine:
     def _vectors(self, df: DataFrame, key: str, text: str, instruction: str = "") -> DataFrame:
         return encode(df, key, text, self.config.embedder, self.config.dim, instruction)
 
-    def index(self, corpus: DataFrame, mentions: bool = True) -> Engine:
-        """``corpus`` as made by ``segmentation.corpus``. Tables that several later stages read are materialised once."""
+    def index(self, corpus: DataFrame, mentions: bool = True, similar: bool = True) -> Engine:
+        """``corpus`` as made by ``segmentation.corpus``. Tables that several later stages read are materialised once.
+
+        Similarity edges are a search of every capsule among all, the square of the corpus. Without ``similar`` they are left to
+        ``retrieve``, which finds those that its questions can meet; what it gives is the same.
+        """
         c = self.config
         passages = self._made("passages", segmentation.passages(corpus, c))
         if self.completer is not None:
@@ -62,12 +66,12 @@ class Engine:
         clusters = self._made("clusters", C.capsule_clusters(capsules, c))
         canonical = C.canonical_capsules(capsules, clusters)
         canonical = self._made("canonical", canonical.join(C.centroids(capsules, clusters), "cluster").drop("cluster"))
-        edges = graph.evidence_edges(passages, canonical, retrieval.sim_edges(canonical, c), c)
+        edges = graph.evidence_edges(passages, canonical, retrieval.sim_edges(canonical, c) if similar else None, c)
         entailed = modelled.entailment_edges(canonical, self.completer, c)
         edges = self._made("edges", edges.unionByName(entailed.select("src", "dst", "type", "cost")))
         self.tables = {
             "docs": corpus,
-            "passages": passages.join(self._vectors(passages, "passage_id", "text"), "passage_id"),
+            "passages": self._made("passage vectors", passages.join(self._vectors(passages, "passage_id", "text"), "passage_id")),
             "capsules": capsules,
             "entities": ents.drop("cluster"),
             "canonical": canonical,
@@ -118,18 +122,26 @@ class Engine:
         shown = canonical.select("canonical_id", "entity_ids", "doc_idxs", "passage_ids")
         cands = cut(retrieval.prizes(cands, shown, asked_entities, c))
 
-        adjacency = cut(graph.both_ways(t["edges"]).withColumn("strength", graph.edge_strength(F.col("type"), F.col("cost"), c)))
+        edges, left_out = t["edges"], t["edges"].where("type = 'sim'").isEmpty()
+        if left_out and (c.allow_sim or c.neighbor_expand_sim_top_m):
+            edges, left_out = edges.unionByName(graph.sim_rows(retrieval.sim_edges(canonical, c), c)), False
+        adjacency = cut(graph.both_ways(edges).withColumn("strength", graph.edge_strength(F.col("type"), F.col("cost"), c)))
         many = nodes.groupBy("qid").count().where(F.col("count") >= c.ppr_min_groups).select("qid")
         seeds = cands.where(F.col("rank") <= c.ppr_seed_per_group).select("qid", F.concat(F.lit("C:"), "canonical_id").alias("seed"), F.lit(2.0).alias("weight"))
         seeds = seeds.unionByName(wanted.select("qid", F.concat(F.lit("E:"), "entity_id").alias("seed"), F.lit(1.0).alias("weight")).distinct()).join(many, "qid")
-        nodes_ = cut(graph.induce(seeds, adjacency, c))
+        # propagation neither follows edges without strength nor reaches nodes by them
+        nodes_ = cut(graph.induce(seeds, adjacency.where("strength > 0"), c))
         walked = graph.mini_ppr(seeds, nodes_, adjacency, c).withColumn("kind", F.substring("node", 1, 1))
         walked = cut(graph.propagated_ranks(walked, c))
         cands = cut(retrieval.boosted(cands, walked.where("kind = 'C'").select("qid", F.col("id").alias("canonical_id"), "rrf"), c))
         chosen = cut(retrieval.beam_assign(cands, order, above, c))
 
         kept = cands.where(F.col("rank") <= c.seed_top_s).select("qid", "gid", "canonical_id").unionByName(chosen.where("canonical_id IS NOT NULL").select("qid", "gid", "canonical_id")).distinct()
-        paths = cut(modelled.connected(chosen, above, cands, shown, adjacency, c))
+        ways = adjacency.select("src", "dst", "type", "cost")
+        if left_out:  # both ends of an edge that a way can take are among these, and one end has the other near
+            met = cut(modelled.way_capsules(cands, c).select("canonical_id").distinct())
+            ways = ways.unionByName(graph.both_ways(graph.sim_rows(cut(retrieval.sim_edges(canonical, c, met)), c)))
+        paths = cut(modelled.connected(chosen, above, cands, shown, ways, c))
         on_way = paths.select("qid", F.explode("path").alias("n")).where(F.col("n").startswith("C:")).select("qid", F.substring("n", 3, 100).alias("canonical_id"))
         best_prize = cands.groupBy("qid", "canonical_id").agg(F.max("prize").alias("prize"))
         touched = kept.select("qid", "canonical_id").unionByName(on_way).distinct().join(best_prize, ["qid", "canonical_id"], "left").join(shown, "canonical_id")

@@ -148,3 +148,23 @@ def test_engine_with_a_model(spark):
     m = got["metrics"].first()
     assert (m["em"], m["f1"]) == (1.0, 1.0) and m["evidence_tokens"] > 0 and 0 <= m["coverage"] <= 1
     assert got["documents"].count() == 3
+
+
+def test_retrieval_finds_similarity_edges_that_the_index_left_out(spark):
+    """Everything is the same with and without them in the index, ways that take one among it; propagation does without."""
+    names, places = ["Ann Lee", "Bob Roe", "Cid Moe", "Dan Poe"], ["Rome", "Oslo", "Bern", "Kiel", "Lima"]
+    texts = [(i, f"{names[i % 4]} {i}\n{names[i % 4]} was born near the old town of {places[i % 5]}. The old town of {places[i % 5]} was born near a lake.") for i in range(12)]
+    docs = segmentation.corpus(spark.createDataFrame(texts, "doc_id long, text string"))
+    questions = spark.createDataFrame([(1, "Who was born near the old town of Rome? Who was born near Oslo?"), (2, "Was Bob Roe born near a lake?")], "qid long, question string")
+    config = Config(merge_threshold=0.999, predicate_free_threshold=0.999, sim_edge_threshold=0.5, sim_edge_topk=4, cost_sim=0.001)
+    shown = []
+    for similar in (True, False):
+        engine = Engine(config).index(docs, similar=similar)
+        kept = {frozenset((r["src"], r["dst"])) for r in engine.tables["edges"].where("type = 'sim'").collect()}
+        assert bool(kept) == similar
+        whole = kept or whole
+        got = engine.retrieve(questions)
+        shown.append({k: sorted(map(str, got[k].collect())) for k in ("documents", "evidence", "assignment", "coverage", "paths")})
+        steps = {frozenset(x) for r in got["paths"].collect() for x in zip(r["path"], r["path"][1:])}
+        assert steps & whole
+    assert shown[0] == shown[1]

@@ -197,6 +197,20 @@ def test_sim_edges(spark):
     assert want and {(r["src"], r["dst"]) for r in got.collect()} == want
 
 
+def test_sim_edges_among_some(spark):
+    """The pairs of some capsules, whose nearest are sought among all, in any order of the rows and with ties."""
+    draw = random.Random(6)
+    rows = [(f"c{i:04d}", [float(draw.choice([1, 2, 3])) for _ in range(3)]) for i in range(2500)]
+    rows = [(k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for k, v in rows]
+    capsules_ = spark.createDataFrame(rows, "canonical_id string, embedding array<double>").repartition(2)
+    among = spark.createDataFrame([(k,) for k, _ in rows[::7]], "canonical_id string")
+    config = Config(sim_edge_topk=90, sim_edge_threshold=0.9, max_questions=1000)
+    whole = retrieval.sim_edges(capsules_, config).collect()
+    some = {f"C:{k}" for k, _ in rows[::7]}
+    want = {(r["src"], r["dst"], r["sim"]) for r in whole if r["src"] in some and r["dst"] in some}
+    assert want and {tuple(r) for r in retrieval.sim_edges(capsules_, config, among).collect()} == want
+
+
 def test_propagated_ranks(spark):
     rows = [(1, kind, f"{kind}:{i:03d}", 1.0 - i / 1000) for kind in "CDP" for i in range(250)]
     got = graph.propagated_ranks(spark.createDataFrame(rows, "qid long, kind string, node string, score double")).collect()
