@@ -7,8 +7,6 @@ many keys there are, nothing is lost: a full bitmap only means that all rows are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,20 +35,16 @@ def bitmap(keys: DataFrame, mark: F.Column, places: int = PLACES) -> np.ndarray:
 
 
 def split(df: DataFrame, mark: F.Column, held: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The rows whose place is free, and those whose place is marked; columns as they are, no shuffle."""
-    name = free(df, "mark")
-    marked = df.select("*", mark.alias(name))
+    """The rows whose place is free, and those whose place is marked; columns as they are, no shuffle.
+
+    Only the marks go to Python, the rows stay in the JVM.
+    """
     shared = df.sparkSession.sparkContext.broadcast(held)
     places = 64 * len(held)
 
-    def side(want: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy() % places
-                hit = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-                part = batch.filter(pa.array(hit == want))
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
-
-        return marked.mapInArrow(run, df.schema)
+    @F.arrow_udf("boolean")
+    def hit(marks: pa.Array) -> pa.Array:
+        at = marks.to_numpy(zero_copy_only=False) % places
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return side(False), side(True)
+    return df.where(~hit(mark)), df.where(hit(mark))

@@ -16,7 +16,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.rows import SLICE
+from lattica.llm.rows import SLICE, kept
 from lattica.plans.checkpoints import cut
 
 LENGTH = 1024
@@ -99,7 +98,7 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder_of(path: str) -> Encoder:
     """One encoder a worker process."""
     return Encoder(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.linear import logistic, platt, rolling
-from lattica.llm.rows import SLICE, each_text
+from lattica.llm.rows import SLICE, each_text, forget, give_back
 from lattica.plans.checkpoints import cut
 
 CHARS, WORDS = (1, 2, 3), (1, 2)
@@ -225,6 +225,7 @@ def filtered(df: DataFrame, model: QualityModel, threshold: float = KEEP, text:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         known = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, SLICE):
@@ -237,5 +238,6 @@ def filtered(df: DataFrame, model: QualityModel, threshold: float = KEEP, text:
                     failed = statistics(t, words, ids, len(distinct))[-1]
                     keep.append(not failed and known.probability(t, ids, distinct) >= threshold)
                 yield part.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, df.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from ctypes import CDLL
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,28 @@ def give_back() -> None:
         trim(0)
 
 
+#: What ``kept`` has made for the tasks of one operator.
+_KEPT: list = []
+
+
+def kept(make: Callable) -> Callable:
+    """``make`` with its last result kept by the worker process for later tasks, until it turns to other texts (``forget``).
+
+    Workers outlive stages; so what one operator needs does not stay beside what the next one needs.
+    """
+    cached = lru_cache(maxsize=1)(make)
+    _KEPT.append(cached)
+    return cached
+
+
+def forget() -> None:
+    """Drops what ``kept`` has made in this process."""
+    if any(f.cache_info().currsize for f in _KEPT):
+        for f in _KEPT:
+            f.cache_clear()
+        give_back()
+
+
 def each_text(
     df: DataFrame, text: str, make: Callable[[], Callable[[str | None], tuple]], out: str | StructType, keep: Iterable[str] = ()
 ) -> DataFrame:
@@ -54,6 +77,7 @@ def each_text(
     names = [f.name for f in whole.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

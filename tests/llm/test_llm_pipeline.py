@@ -4,10 +4,12 @@ import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lattica.llm import jaccard, rows
+from lattica.llm import jaccard, marks, packing, rows
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -121,3 +123,24 @@ def test_near_copies_in_bounded_memory(spark):
     with rows.small_batches(spark):
         assert spark.conf.get(name) == f"{rows.BATCH}b"
     assert spark.conf.get(name) == before
+
+
+def test_workers_keep_one_operators_objects(spark):
+    """A worker that has packed holds no encoder any more when it turns to other texts."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).count()
+        held = rows.each_text(docs, "text", lambda: lambda t: (packing.encoder_of.cache_info().currsize,), "n int")
+        assert {r["n"] for r in held.collect()} == {0}
+
+
+def test_split_leaves_rows_in_the_jvm(spark):
+    """Both sides together are the table, whatever its columns; only marks go to Python."""
+    data = [(i, None if i % 5 == 0 else f"t{i}", i * 7) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, mark long").repartition(3)
+    keys = df.where("doc_id % 3 = 0").select("doc_id")
+    sides = marks.split(df, F.xxhash64("doc_id"), marks.bitmap(keys, F.xxhash64("doc_id")))
+    free, marked = ([tuple(r) for r in side.collect()] for side in sides)
+    assert sorted(map(str, free + marked)) == sorted(map(str, data))
+    assert {i for i, *_ in marked} >= set(range(0, 300, 3)) and len(marked) < 110
+    assert all(s.columns == df.columns and "MapInArrow" not in s._jdf.queryExecution().toString() for s in sides)
