@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.rows import SLICE, kept
+from lattica.llm.rows import SLICE, give_back, kept, small_batches
 from lattica.plans.checkpoints import cut
 
 LENGTH = 1024
@@ -36,7 +36,7 @@ COLUMNS, GAP = 1500, 5e-4
 #: Pieces that are ranked together.
 RANKED = 50_000
 #: Stretches kept in a task's memory.
-CACHE = 400_000
+CACHE = 1 << 17
 #: Unicode white space as the vocabulary's pattern has it; a stretch is a run without it and the one space before.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: how the byte-level vocabulary's library cuts texts before merging.
@@ -126,6 +126,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, close: in
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
             data = [part.column("doc").take(pa.array(i)), *[pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(data, names=["doc", "start", "length", "ids_crc32", "doc_tokens"])
+    give_back()
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -248,7 +249,8 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
     """
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     out = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = cut(rows.mapInArrow(lambda b: _pieces(b, tokenizer, length, close), out))
+    with small_batches(df.sparkSession):
+        pieces = cut(rows.mapInArrow(lambda b: _pieces(b, tokenizer, length, close), out))
     steps = pieces.withColumn("steps", F.ceil(F.col("length") / STEP).cast("int"))
     histogram = {r["steps"]: r["count"] for r in steps.groupBy("steps").count().collect()}
     slots, _ = plan(histogram, length // STEP)

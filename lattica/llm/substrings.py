@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.llm.marks import bitmap, free, split
-from lattica.llm.rows import SLICE
+from lattica.llm.rows import SLICE, forget, give_back, small_batches
 from lattica.plans.checkpoints import cut
 
 #: Where a unit ends; white space after it belongs to it.
@@ -52,6 +52,7 @@ def cut_units(text: str, unit: str = "sentence") -> Iterator[tuple[int, int, int
 
 
 def _units(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for a in range(0, batch.num_rows, SLICE):
             part = batch.slice(a, SLICE)
@@ -65,6 +66,7 @@ def _units(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBa
             data = [part.column("doc").take(take), part.column("twin").take(take)]
             data += [pa.array(x, pa.int32()) for x in (start, stop, words)] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
             yield pa.RecordBatch.from_arrays(data, names=["doc", "twin", "start", "stop", "words", "hi", "lo"])
+    give_back()
 
 
 def repeated_spans(
@@ -85,7 +87,8 @@ def repeated_spans(
     units = named.mapInArrow(lambda b: _units(b, unit), UNITS)
     rank = F.struct("doc", "twin", "start")
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    first = cut(first.where(F.col("n") > 1).select("hi", "lo", "first"))
+    with small_batches(df.sparkSession):
+        first = cut(first.where(F.col("n") > 1).select("hi", "lo", "first"))
     again = units.join(first, ["hi", "lo"]).where(rank != F.col("first")).drop("hi", "lo")
     whole = Window.partitionBy("doc", "twin").orderBy("start")
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +122,8 @@ def without_spans(df: DataFrame, spans: DataFrame, text: str = "text", key: str
     Only texts that have a span meet the table of spans; all others stay where they are. Columns may have any names.
     """
     ordered = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    cuts = cut(spans.groupBy(F.col(key).cast("long").alias("doc"), F.col("twin").alias("own")).agg(ordered.alias("cuts")))
+    with small_batches(df.sparkSession):
+        cuts = cut(spans.groupBy(F.col(key).cast("long").alias("doc"), F.col("twin").alias("own")).agg(ordered.alias("cuts")))
     doc, own = F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))
     rest, some = split(df, F.xxhash64(doc, own), bitmap(cuts, F.xxhash64("doc", "own")))
     names = {c: free(df, c) for c in ("doc", "own", "cuts", "row_doc", "row_own")}
@@ -144,6 +148,7 @@ def without_spans(df: DataFrame, spans: DataFrame, text: str = "text", key: str
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        give_back()
 
     return rest.unionAll(met.mapInArrow(run, df.schema))
 
