@@ -144,3 +144,35 @@ def test_split_leaves_rows_in_the_jvm(spark):
     assert sorted(map(str, free + marked)) == sorted(map(str, data))
     assert {i for i, *_ in marked} >= set(range(0, 300, 3)) and len(marked) < 110
     assert all(s.columns == df.columns and "MapInArrow" not in s._jdf.queryExecution().toString() for s in sides)
+
+
+def test_pairs_come_from_the_first_shared_shingle(spark, monkeypatch):
+    """However many shingles two sets share, blocks make their pair once, and none that the shared shingle's places exclude."""
+    names = ["shingle", "part_lo", "part_hi", "node", "root", "n", "parity", "place", "before"]
+
+    def pairs(rows):
+        lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+        columns = [pa.array([r[i] for r in rows]) for i in range(6)] + [lists([[0] * jaccard.PARITY] * len(rows)), pa.array([r[6] for r in rows]), lists([r[7] for r in rows])]
+        made = jaccard._pairs(iter([pa.RecordBatch.from_arrays(columns, names=names)]), Fraction("0.8"))
+        return [tuple(x.values()) for batch in made for x in batch.to_pylist()]
+
+    # nodes 101 and 102 share 1, 2 and 3; 103 has 2 at a place that leaves too few members to share
+    rows = [(1, 0, 0, 101, 101, 100, 0, [101, 101]), (1, 0, 0, 102, 102, 100, 3, [9, 102])]
+    rows += [(2, 0, 0, 101, 101, 100, 4, [1, 101]), (2, 0, 0, 102, 102, 100, 5, [8, 1]), (2, 0, 0, 103, 103, 100, 12, [103, 103])]
+    rows += [(3, 0, 0, 101, 101, 100, 5, [2, 1]), (3, 0, 0, 102, 102, 100, 6, [2, 8])]
+    assert pairs(rows) == [(101, 102)]
+    assert sorted(pairs([(*r[:6], 11, [r[3]] * 2) for r in rows])) == [(101, 102)] * 3 + [(101, 103), (102, 103)]
+
+    # texts below the similarity that share most of their shingles
+    text = lambda k: " ".join(f"x{k}-{i}" if i % 40 == 20 else f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(60)], "doc_id long, text string")
+    made, plain = spark.sparkContext.accumulator(0), jaccard._pairs
+
+    def counted(batches, t):
+        for x in plain(batches, t):
+            made.add(x.num_rows)
+            yield x
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    assert jaccard.near_copies(docs).select("component").distinct().count() == 60
+    assert made.value <= 60 * 59 // 2
