@@ -196,6 +196,7 @@ def quality(df: DataFrame, model: QualityModel, threshold: float = KEEP, text: s
     only the kept columns and the text are read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    give_back()  # what training has left in the driver
 
     def make():
         known = shared.value
@@ -223,6 +224,7 @@ def quality(df: DataFrame, model: QualityModel, threshold: float = KEEP, text: s
 def filtered(df: DataFrame, model: QualityModel, threshold: float = KEEP, text: str = "text") -> DataFrame:
     """The rows of ``df`` that ``quality`` keeps, with all their columns, in one pass without a shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    give_back()  # what training has left in the driver
 
     def run(batches):
         forget()

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import jaccard, marks, packing, rows
+from lattica.llm import jaccard, marks, packing, quality, rows
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -176,3 +176,12 @@ def test_pairs_come_from_the_first_shared_shingle(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_pairs", counted)
     assert jaccard.near_copies(docs).select("component").distinct().count() == 60
     assert made.value <= 60 * 59 // 2
+
+
+def test_driver_gives_back_what_training_took(spark, documents, monkeypatch):
+    """After the fit the driver's freed memory goes back to the system, before the later stages run."""
+    calls, model = [], quality.train(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    monkeypatch.setattr(quality, "give_back", lambda: calls.append(1))
+    quality.filtered(documents, model)
+    quality.quality(documents, model)
+    assert len(calls) == 2
