@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.config import Config
-from lattica.operators import capsules, dag, entities, graph, retrieval, segmentation
+from lattica.operators import capsules, components, dag, entities, graph, retrieval, segmentation
 from lattica.operators.components import connected_components
 from lattica.plans import models
 from lattica.sources import readers
@@ -72,6 +72,37 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(240)] + [(900 + i, 901 + i) for i in range(30)]
+    edges = spark.createDataFrame([*pairs, (None, 7), (8, 8), pairs[0]], "src long, dst long")
+    name = lambda c: F.concat(F.lit("é_"), c.cast("string"))
+    named = edges.select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
+
+    def found(edges):
+        return sorted((r["node"], r["component"]) for r in connected_components(edges).collect())
+
+    with monkeypatch.context() as m:
+        m.setattr(components, "FEW", 0)
+        by_stars = [found(edges), found(named), found(edges.limit(0))]
+    assert [found(edges), found(named), found(edges.limit(0))] == by_stars
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        spark.sparkContext.setJobGroup("few-edges", "components of few edges")
+        connected_components(edges)
+        stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 50 < tasks <= 250  # hundreds more with every round of stars
+
+
 def test_entities(spark):
     caps = spark.createDataFrame(
         [("C_1", "Thomas Sudhof", [("mention", "Thomas C. Sudhof"), ("mention", "he")]), ("C_2", "x", [("mention", "quantum dots")]), ("C_3", "x", [("mention", "American")])],
